@@ -83,13 +83,15 @@ def global_mean(stats: DataFrame) -> float:
 
 
 def enrich_with_baselines(df: DataFrame, monthly: DataFrame, overall: DataFrame,
-                          fill: float) -> DataFrame:
+                          fill: float, monthly_small: bool | None = None,
+                          overall_small: bool | None = None) -> DataFrame:
     """Left-join both baselines onto ``df`` and fill misses with ``fill``.
 
     Both lookups are at most #airports x 12 rows; they are broadcast when a
-    row count proves it, so the fact table is not shuffled for them."""
-    out = lookup_join(df, monthly, ["APT_ICAO", "MONTH_NUM"], "left")
-    out = lookup_join(out, overall, ["APT_ICAO"], "left")
+    row count proves it (``*_small`` passes a count made earlier), so the fact
+    table is not shuffled for them."""
+    out = lookup_join(df, monthly, ["APT_ICAO", "MONTH_NUM"], "left", small=monthly_small)
+    out = lookup_join(out, overall, ["APT_ICAO"], "left", small=overall_small)
     return (out
             .withColumn(MONTHLY_COL, F.coalesce(F.col(MONTHLY_COL), F.lit(float(fill))))
             .withColumn(OVERALL_COL, F.coalesce(F.col(OVERALL_COL), F.lit(float(fill)))))

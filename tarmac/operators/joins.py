@@ -27,13 +27,17 @@ def fits_broadcast(dim: DataFrame, max_rows: int | None = None) -> bool:
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-                max_rows: int | None = None, known_small: bool = False) -> DataFrame:
+                max_rows: int | None = None, known_small: bool = False,
+                small: bool | None = None) -> DataFrame:
     """Join ``fact`` with a lookup table.
 
-    The lookup side is broadcast when its size is proven: either
-    ``known_small`` (a literal level table or a top-k result) or a row count
-    under the limit.  Beyond the limit the join is left to the planner
-    (sort-merge with AQE skew handling), so nothing large is broadcast."""
-    if known_small or fits_broadcast(dim, max_rows):
+    The lookup side is broadcast when its size is proven: ``known_small`` (a
+    literal level table or a top-k result), ``small`` (the result of a count
+    made by the caller) or, when neither is given, a row count under the
+    limit.  Beyond the limit the join is left to the planner (sort-merge with
+    AQE skew handling), so nothing large is broadcast."""
+    if small is None:
+        small = known_small or fits_broadcast(dim, max_rows)
+    if small:
         dim = F.broadcast(dim)
     return fact.join(dim, on, how)

@@ -36,13 +36,19 @@ def same_day_in_year(day: dt.date, year: int) -> dt.date:
     return day.replace(year=year)
 
 
-def between_dates(start, end) -> Column:
-    return F.col("FLT_DATE").between(F.lit(as_date(start)), F.lit(as_date(end)))
+def between_dates(start, end, df: DataFrame | None = None) -> Column:
+    """start <= FLT_DATE <= end.  When ``df`` carries the ``flt_year``
+    partition column, the same bound on it lets the scan skip other years."""
+    start, end = as_date(start), as_date(end)
+    cond = F.col("FLT_DATE").between(F.lit(start), F.lit(end))
+    if df is not None and "flt_year" in df.columns:
+        cond = cond & F.col("flt_year").between(start.year, end.year)
+    return cond
 
 
 def in_range(features: DataFrame, start, end) -> DataFrame:
     """Rows with start <= FLT_DATE <= end (both days included)."""
-    return features.where(between_dates(start, end))
+    return features.where(between_dates(start, end, features))
 
 
 def _sum0(col: Column, name: str) -> Column:
@@ -63,7 +69,8 @@ def _range_sums(features: DataFrame, start, end) -> DataFrame:
     start, end = as_date(start), as_date(end)
     ref_start = same_day_in_year(start, REFERENCE_YEAR)
     ref_end = same_day_in_year(end, REFERENCE_YEAR)
-    current, reference = between_dates(start, end), between_dates(ref_start, ref_end)
+    current = between_dates(start, end, features)
+    reference = between_dates(ref_start, ref_end, features)
     return features.where(current | reference).agg(
         _sum0(F.when(current, F.col("FLT_TOT_1")), "total_ops"),
         _sum0(F.when(current, F.col("FLT_ARR_1")), "total_arrivals"),

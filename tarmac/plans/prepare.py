@@ -2,14 +2,23 @@
 category, fold groups and the log target, plus the lookup tables the
 forecasts need (the reference's saved "artifacts").
 
-``prepare`` builds it lazily; ``PreparedTraffic.cached`` keeps one copy per
-session and source so the dashboard queries reuse it, as the reference's
-dashboard did with its in-memory frame.
+``prepare`` builds it; ``PreparedTraffic.cached`` keeps one copy per session
+and source so the dashboard queries reuse it, as the reference's dashboard
+did with its in-memory frame.
+
+Materialization (``tarmac.materialize``):
+
+* ``cache`` (default) – persisted MEMORY_AND_DISK; lost blocks are recomputed
+  from lineage.
+* ``table`` – written as Parquet partitioned by ``flt_year`` under the shared
+  ``spark.checkpoint.dir`` and read back: lineage is cut, an executor loss
+  costs a re-read, and date-range queries prune whole years.
 """
 
 from __future__ import annotations
 
 import threading
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -22,12 +31,15 @@ from ..operators.baselines import (airport_month_stats, baseline_monthly, baseli
                                    enrich_with_baselines, global_mean)
 from ..operators.bins import volume_bins, weighted_airport_values
 from ..operators.folding import fold_column, top_keys_by_rows
+from ..operators.joins import broadcast_limit
+from ..session import ensure_checkpoint_dir
 from ..sources.schema import LOG_TARGET
 from ..sources.traffic import fixture_traffic
 
 TOP_AIRPORTS = 40
 TOP_COUNTRIES = 15
 SPLIT_DATE = "2021-02-01"  # train < split <= test
+PARTITION_COLUMN = "flt_year"
 
 
 @dataclass
@@ -38,6 +50,8 @@ class PreparedTraffic:
     overall: DataFrame
     global_mean: float
     edges: list[float]
+    monthly_rows: int | None = None
+    overall_rows: int | None = None
     labels: list[str] = field(default_factory=lambda: list(VOLUME_LABELS))
 
     @property
@@ -50,18 +64,26 @@ class PreparedTraffic:
     def test(self) -> DataFrame:
         return self.features.where(F.col("FLT_DATE") >= F.lit(SPLIT_DATE).cast("date"))
 
+    def lookups_small(self) -> tuple[bool | None, bool | None]:
+        """Whether the monthly / overall lookups are small enough to broadcast,
+        from the counts made at preparation (None: not counted yet)."""
+        limit = broadcast_limit(self.features)
+        return (None if self.monthly_rows is None else self.monthly_rows <= limit,
+                None if self.overall_rows is None else self.overall_rows <= limit)
+
     def unpersist(self) -> None:
         for df in (self.features, self.stats, self.monthly, self.overall):
             df.unpersist()
 
     @classmethod
     def cached(cls, spark: SparkSession, sf_dir: str) -> "PreparedTraffic":
-        """One persisted copy per session and fixture folder."""
+        """One prepared copy per session and fixture folder."""
         key = (spark.sparkContext.applicationId, sf_dir)
         with _CACHE_LOCK:
             hit = _CACHE.get(key)
             if hit is None:
-                hit = prepare(fixture_traffic(spark, sf_dir), persist=True)
+                mode = spark.conf.get("tarmac.materialize", "cache")
+                hit = prepare(fixture_traffic(spark, sf_dir), materialize=mode)
                 _CACHE[key] = hit
             return hit
 
@@ -71,32 +93,58 @@ _CACHE_LOCK = threading.Lock()
 
 
 def add_calendar(df: DataFrame) -> DataFrame:
-    cols = calendar_columns(F.col("FLT_DATE"))
-    df = df.withColumns(cols)
+    df = df.withColumns(calendar_columns(F.col("FLT_DATE")))
     return df.withColumns(cyclic_columns(F.col("day_of_year"), F.col("MONTH_NUM")))
 
 
-def prepare(traffic: DataFrame, persist: bool = False,
+def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and return
+    the re-read table (lineage cut, column pruning and partition pruning)."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tarmac-tables/{name}-{uuid.uuid4().hex}"
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return spark.read.parquet(path)
+
+
+def prepare(traffic: DataFrame, materialize: str | None = None,
             top_airports: int = TOP_AIRPORTS, top_countries: int = TOP_COUNTRIES) -> PreparedTraffic:
-    """Feature engineering of the training script, as one lazy plan plus a
-    few small aggregates collected as scalars (global mean, five bin edges)."""
+    """Feature engineering of the training script.
+
+    The fact rows are read twice: once for the (airport, country, month)
+    statistics, once to build the feature rows; everything else (baselines,
+    global mean, five bin edges, top-k fold keys) is derived from the small
+    statistics table.  ``materialize`` is None (lazy), ``'cache'`` or
+    ``'table'``."""
+    if materialize not in (None, "cache", "table"):
+        raise ValueError(f"materialize must be None, 'cache' or 'table', got {materialize!r}")
     level = StorageLevel.MEMORY_AND_DISK
-    if persist:
+    if materialize:
         traffic = traffic.persist(level)
     stats = airport_month_stats(traffic)
-    if persist:
+    monthly_rows = overall_rows = None
+    if materialize == "table":
+        stats = write_table(stats, "airport-month-stats")
+    elif materialize == "cache":
         stats = stats.persist(level)
     monthly = baseline_monthly(stats)
     overall = baseline_overall(stats)
-    if persist:
-        monthly = monthly.persist(level)
-        overall = overall.persist(level)
+    if materialize:
+        monthly, overall = monthly.persist(level), overall.persist(level)
+        monthly_rows, overall_rows = monthly.count(), overall.count()
     fill = global_mean(stats)
     edges = volume_bins(weighted_airport_values(stats, overall, fill))
 
+    limit = broadcast_limit(traffic)
     df = add_calendar(traffic)
     df = df.withColumn("pandemic_phase", phase(F.col("YEAR"), F.col("MONTH_NUM")))
-    df = enrich_with_baselines(df, monthly, overall, fill)
+    df = enrich_with_baselines(
+        df, monthly, overall, fill,
+        monthly_small=None if monthly_rows is None else monthly_rows <= limit,
+        overall_small=None if overall_rows is None else overall_rows <= limit)
     df = df.withColumn("airport_volume_category",
                        volume_category(F.col("avg_traffic_pre_pandemic_overall"), edges))
     df = df.withColumn(LOG_TARGET, log_target(F.col("FLT_TOT_1")))
@@ -106,8 +154,12 @@ def prepare(traffic: DataFrame, persist: bool = False,
                      top_keys_by_rows(stats, "APT_ICAO", top_airports))
     df = fold_column(df, "STATE_NAME", "state_group",
                      top_keys_by_rows(stats, "STATE_NAME", top_countries))
-    if persist:
+    df = df.withColumn(PARTITION_COLUMN, F.year("FLT_DATE"))
+    if materialize == "table":
+        df = write_table(df, "features", [PARTITION_COLUMN])
+        traffic.unpersist()
+    elif materialize == "cache":
         df = df.persist(level)
         df.count()
         traffic.unpersist()
-    return PreparedTraffic(df, stats, monthly, overall, fill, edges)
+    return PreparedTraffic(df, stats, monthly, overall, fill, edges, monthly_rows, overall_rows)
