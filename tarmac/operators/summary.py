@@ -75,18 +75,22 @@ def _range_sums(features: DataFrame, start, end) -> DataFrame:
         _sum0(F.when(current, F.col("FLT_TOT_1")), "total_ops"),
         _sum0(F.when(current, F.col("FLT_ARR_1")), "total_arrivals"),
         _sum0(F.when(current, F.col("FLT_DEP_1")), "total_departures"),
-        _sum0(F.when(reference, F.col("FLT_TOT_1")), "total_ops_2019"))
+        _sum0(F.when(reference, F.col("FLT_TOT_1")), "total_ops_2019"),
+        F.count(F.when(current, 1)).alias("rows_in_range"))
 
 
 def _change_pct() -> Column:
+    """NULL for an empty range (the card shows "-") or without 2019 traffic."""
     ref = F.col("total_ops_2019")
-    return F.when(ref > 0, (F.col("total_ops") - ref) / ref * 100)
+    return F.when((ref > 0) & (F.col("rows_in_range") > 0),
+                  (F.col("total_ops") - ref) / ref * 100)
 
 
 def kpi_change(features: DataFrame, start, end) -> DataFrame:
     """Total of the range, total of the same days of 2019 and the percent
-    change; NULL change when the 2019 total is not positive.  A range over New
-    Year maps to an empty 2019 range, hence a NULL change."""
+    change; NULL change when the range has no rows or the 2019 total is not
+    positive.  A range over New Year maps to an empty 2019 range, hence a NULL
+    change."""
     return (_range_sums(features, start, end)
             .select("total_ops", "total_ops_2019", _change_pct().alias("change_pct")))
 

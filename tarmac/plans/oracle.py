@@ -232,9 +232,10 @@ FROM sel"""
   SELECT CAST(COALESCE(SUM(CASE WHEN FLT_DATE BETWEEN DATE '{START}' AND DATE '{END}' THEN FLT_TOT_1 END), 0) AS BIGINT) AS total_ops,
          CAST(COALESCE(SUM(CASE WHEN FLT_DATE BETWEEN DATE '{START}' AND DATE '{END}' THEN FLT_ARR_1 END), 0) AS BIGINT) AS total_arrivals,
          CAST(COALESCE(SUM(CASE WHEN FLT_DATE BETWEEN DATE '{START}' AND DATE '{END}' THEN FLT_DEP_1 END), 0) AS BIGINT) AS total_departures,
-         CAST(COALESCE(SUM(CASE WHEN FLT_DATE BETWEEN DATE '{REF_START}' AND DATE '{REF_END}' THEN FLT_TOT_1 END), 0) AS BIGINT) AS total_ops_2019
+         CAST(COALESCE(SUM(CASE WHEN FLT_DATE BETWEEN DATE '{REF_START}' AND DATE '{REF_END}' THEN FLT_TOT_1 END), 0) AS BIGINT) AS total_ops_2019,
+         COUNT(*) FILTER (WHERE FLT_DATE BETWEEN DATE '{START}' AND DATE '{END}') AS rows_in_range
   FROM traffic),
-c AS (SELECT *, CASE WHEN total_ops_2019 > 0
+c AS (SELECT *, CASE WHEN total_ops_2019 > 0 AND rows_in_range > 0
                      THEN (total_ops - total_ops_2019) / total_ops_2019 * 100 END AS change_pct FROM s)"""
     q["kpi_change"] = BASE + f""",
 {sums}

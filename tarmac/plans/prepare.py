@@ -71,6 +71,12 @@ class PreparedTraffic:
         return (None if self.monthly_rows is None else self.monthly_rows <= limit,
                 None if self.overall_rows is None else self.overall_rows <= limit)
 
+    @property
+    def countries(self) -> DataFrame:
+        """(APT_ICAO, STATE_NAME): the first (smallest) country per airport."""
+        return (self.stats.where(F.col("APT_ICAO").isNotNull())
+                .groupBy("APT_ICAO").agg(F.min("STATE_NAME").alias("STATE_NAME")))
+
     def unpersist(self) -> None:
         for df in (self.features, self.stats, self.monthly, self.overall):
             df.unpersist()
