@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The analysed workload has no streams: no watermarks, event-time windows,
+state or late data.  The dashboard recomputes on user input over a static
+table, which is a batch query here.
+"""
