@@ -101,10 +101,14 @@ def target_correlation(train: DataFrame, columns, target: str = LOG_TARGET) -> D
 
 
 def airport_map(overall: DataFrame, coordinates: DataFrame) -> DataFrame:
-    """Airports with a baseline and known coordinates (misses dropped)."""
+    """Airports with a baseline and known coordinates (misses dropped).
+
+    The coordinate and label dimensions are literal tables or file scans whose
+    size Spark knows, so these joins carry no hint: the planner (and AQE at
+    run time) broadcasts them only under ``autoBroadcastJoinThreshold``."""
     coords = (coordinates.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
               .select(F.col("airport").alias("APT_ICAO"), "lat", "lon"))
-    return (lookup_join(overall, coords, ["APT_ICAO"], "inner")
+    return (overall.join(coords, ["APT_ICAO"], "inner")
             .select("APT_ICAO", OVERALL_COL, "lat", "lon").orderBy("APT_ICAO"))
 
 
@@ -117,7 +121,7 @@ def airport_countries(stats: DataFrame) -> DataFrame:
 def mapped_airports(stats: DataFrame, coordinates: DataFrame) -> DataFrame:
     """Distinct (airport, country) pairs whose airport has coordinates."""
     keys = coordinates.select(F.col("airport").alias("APT_ICAO"))
-    return (lookup_join(airport_countries(stats), keys, ["APT_ICAO"], "left_semi")
+    return (airport_countries(stats).join(keys, ["APT_ICAO"], "left_semi")
             .orderBy("APT_ICAO", "STATE_NAME"))
 
 
@@ -126,7 +130,7 @@ def airport_directory(stats: DataFrame, country_labels: DataFrame, lang: str = "
     translation exists, else shown as is."""
     labels = (country_labels.where(F.col("lang") == lang)
               .select(F.col("name").alias("STATE_NAME"), F.col("label").alias("country_label")))
-    joined = lookup_join(airport_countries(stats), labels, ["STATE_NAME"], "left")
+    joined = airport_countries(stats).join(labels, ["STATE_NAME"], "left")
     country = F.coalesce(F.col("country_label"), F.col("STATE_NAME"))
     return (joined.select("APT_ICAO", "STATE_NAME", country.alias("country_label"),
                           airport_label(F.col("APT_ICAO"), country).alias("label"))

@@ -8,11 +8,11 @@ did with its in-memory frame.
 
 Materialization (``tarmac.materialize``):
 
-* ``cache`` (default) – persisted MEMORY_AND_DISK; lost blocks are recomputed
-  from lineage.
-* ``table`` – written as Parquet partitioned by ``flt_year`` under the shared
-  ``spark.checkpoint.dir`` and read back: lineage is cut, an executor loss
-  costs a re-read, and date-range queries prune whole years.
+* ``table`` (default) – written as Parquet partitioned by ``flt_year`` under
+  the shared ``spark.checkpoint.dir`` and read back: lineage is cut, an
+  executor loss costs a re-read, and date-range queries prune whole years.
+* ``cache`` – persisted MEMORY_AND_DISK; lost blocks are recomputed from
+  lineage (handy for small interactive work).
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ class PreparedTraffic:
         with _CACHE_LOCK:
             hit = _CACHE.get(key)
             if hit is None:
-                mode = spark.conf.get("tarmac.materialize", "cache")
+                mode = spark.conf.get("tarmac.materialize", "table")
                 hit = prepare(fixture_traffic(spark, sf_dir), materialize=mode)
                 _CACHE[key] = hit
             return hit
