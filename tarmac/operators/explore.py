@@ -33,6 +33,12 @@ def monthly_series(train: DataFrame) -> DataFrame:
             .orderBy("month_end"))
 
 
+def log_by(train: DataFrame, key: str) -> DataFrame:
+    """Mean log total per value of ``key`` (NULL keys left out)."""
+    return (train.where(F.col(key).isNotNull())
+            .groupBy(key).agg(F.avg(LOG_TARGET).alias("mean_log_total")).orderBy(key))
+
+
 def log_by_dow(train: DataFrame) -> DataFrame:
     return (train.where(F.col("day_of_week").isNotNull())
             .groupBy("day_of_week").agg(F.avg(LOG_TARGET).alias("mean_log_total"))
@@ -40,11 +46,14 @@ def log_by_dow(train: DataFrame) -> DataFrame:
 
 
 def log_by_phase(train: DataFrame) -> DataFrame:
-    """Observed phases only, in phase order (``Other`` is not a level)."""
-    means = train.groupBy("pandemic_phase").agg(F.avg(LOG_TARGET).alias("mean_log_total"))
+    """Observed phases only, in phase order; ``Other`` (rows without a year)
+    is not a level: it keeps a NULL rank and sorts last."""
+    means = (train.where(F.col("pandemic_phase").isNotNull())
+             .groupBy("pandemic_phase").agg(F.avg(LOG_TARGET).alias("mean_log_total")))
     levels = phase_levels(train.sparkSession)
-    return (lookup_join(means, levels, ["pandemic_phase"], "inner", known_small=True)
-            .select("phase_rank", "pandemic_phase", "mean_log_total").orderBy("phase_rank"))
+    return (lookup_join(means, levels, ["pandemic_phase"], "left", known_small=True)
+            .select("phase_rank", "pandemic_phase", "mean_log_total")
+            .orderBy(F.asc_nulls_last("phase_rank")))
 
 
 def log_by_volume(train: DataFrame, labels=VOLUME_LABELS) -> DataFrame:
@@ -80,8 +89,8 @@ def spread_by_dow(train: DataFrame) -> DataFrame:
 
 def spread_by_phase(train: DataFrame) -> DataFrame:
     levels = phase_levels(train.sparkSession)
-    return (lookup_join(_spread(train, "pandemic_phase"), levels, ["pandemic_phase"], "inner",
-                        known_small=True).orderBy("phase_rank"))
+    return (lookup_join(_spread(train, "pandemic_phase"), levels, ["pandemic_phase"], "left",
+                        known_small=True).orderBy(F.asc_nulls_last("phase_rank")))
 
 
 def spread_by_volume(train: DataFrame, labels=VOLUME_LABELS) -> DataFrame:

@@ -30,3 +30,11 @@ def fold_column(df: DataFrame, key: str, out: str, top: DataFrame) -> DataFrame:
                          known_small=True)
     return (joined.withColumn(out, F.when(F.col("__fold_hit"), F.col(key)).otherwise(F.lit(OTHER)))
             .drop("__fold_key", "__fold_hit"))
+
+
+def fold_rare(df: DataFrame, key: str, k: int, out: str | None = None) -> DataFrame:
+    """Keep the ``k`` most frequent values of ``key`` (ties: smaller value),
+    replace the others and NULL by ``Other``.  Counts are a partial
+    aggregation; only the k winners are broadcast back."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    return fold_column(df, key, out or key, top_keys_by_rows(counts, key, k))

@@ -168,14 +168,17 @@ def _with_share(df: DataFrame) -> DataFrame:
     return df.withColumn("share_pct", F.when(grand > 0, F.col("total") / grand * 100))
 
 
-def volume_share(features: DataFrame, start, end, labels=VOLUME_LABELS) -> DataFrame:
-    """Flights per volume category; categories without rows give 0."""
+def volume_share(features: DataFrame, start, end, labels=VOLUME_LABELS,
+                 keep_absent: bool = True) -> DataFrame:
+    """Flights per volume category; categories without rows give 0, or are
+    left out with ``keep_absent=False`` (the earlier dashboard)."""
     sums = (in_range(features, start, end)
             .where(F.col("airport_volume_category").isNotNull())
             .groupBy("airport_volume_category")
             .agg(_sum0(F.col("FLT_TOT_1"), "total")))
     levels = volume_levels(features.sparkSession, labels)
-    out = (lookup_join(levels, sums, ["airport_volume_category"], "left", known_small=True)
+    out = (lookup_join(levels, sums, ["airport_volume_category"],
+                       "left" if keep_absent else "inner", known_small=True)
            .select("volume_rank", "airport_volume_category",
                    F.coalesce(F.col("total"), F.lit(0)).cast("bigint").alias("total")))
     return _with_share(out).orderBy("volume_rank")
@@ -188,3 +191,19 @@ def daytype_share(features: DataFrame, start, end, lang: str = "en") -> DataFram
     sums = (in_range(features, start, end).groupBy(day_type.alias("day_type"))
             .agg(_sum0(F.col("FLT_TOT_1"), "total")))
     return _with_share(sums).orderBy("day_type")
+
+
+def summary_report(features: DataFrame, start, end, lang: str = "en",
+                   fold: bool = True) -> dict[str, DataFrame]:
+    """Everything the operations tab shows for one range, as lazy DataFrames
+    (nothing runs until each one is used)."""
+    return {
+        "kpi_totals": kpi_totals(features, start, end),
+        "kpi_change": kpi_change(features, start, end),
+        "kpi_labels": kpi_labels(features, start, end),
+        "daily_ops": daily_ops(features, start, end),
+        "pareto_airports": pareto_airports(features, start, end, fold=fold),
+        "top_countries": top_countries(features, start, end, fold=fold),
+        "volume_share": volume_share(features, start, end),
+        "daytype_share": daytype_share(features, start, end, lang),
+    }

@@ -324,9 +324,9 @@ SELECT cal.month_end, CAST(COALESCE(s.total, 0) AS BIGINT) AS total
 FROM cal LEFT JOIN s ON cal.month_end = s.month_end"""
     q["log_by_dow"] = BASE + "\n" + _log_by("day_of_week") + " WHERE day_of_week IS NOT NULL GROUP BY 1"
     q["log_by_phase"] = BASE + f""",
-m AS ({_log_by("pandemic_phase")} GROUP BY 1)
+m AS ({_log_by("pandemic_phase")} WHERE pandemic_phase IS NOT NULL GROUP BY 1)
 SELECT CAST(pl.phase_rank AS INTEGER) AS phase_rank, m.pandemic_phase, m.mean_log_total
-FROM m JOIN {PHASE_LEVELS} ON m.pandemic_phase = pl.pandemic_phase"""
+FROM m LEFT JOIN {PHASE_LEVELS} ON m.pandemic_phase = pl.pandemic_phase"""
     q["log_by_volume"] = BASE + f""",
 m AS ({_log_by("airport_volume_category")} WHERE airport_volume_category IS NOT NULL GROUP BY 1)
 SELECT CAST(vl.volume_rank AS INTEGER) AS volume_rank, vl.airport_volume_category, m.mean_log_total
@@ -338,7 +338,7 @@ WHERE day_of_week IS NOT NULL AND FLT_TOT_1_log IS NOT NULL GROUP BY 1"""
 m AS (SELECT pandemic_phase, {_spread_cols()} FROM train
       WHERE pandemic_phase IS NOT NULL AND FLT_TOT_1_log IS NOT NULL GROUP BY 1)
 SELECT m.*, CAST(pl.phase_rank AS INTEGER) AS phase_rank
-FROM m JOIN {PHASE_LEVELS} ON m.pandemic_phase = pl.pandemic_phase"""
+FROM m LEFT JOIN {PHASE_LEVELS} ON m.pandemic_phase = pl.pandemic_phase"""
     q["spread_by_volume"] = BASE + f""",
 m AS (SELECT airport_volume_category, {_spread_cols()} FROM train
       WHERE airport_volume_category IS NOT NULL AND FLT_TOT_1_log IS NOT NULL GROUP BY 1)

@@ -132,3 +132,15 @@ def test_scoring_is_non_negative_and_round_trips(spark, planted, ridge, tmpdir_p
 def test_missing_artifacts_is_clear_error(spark, tmpdir_path):
     with pytest.raises(FileNotFoundError, match="training job"):
         load_artifacts(spark, f"{tmpdir_path}/nothing-here")
+
+
+def test_scoring_all_year_scope(spark, planted):
+    req = spark.createDataFrame([("AAA", dt.date(2023, 6, 1))], "airport string, flt_date date")
+    pre = scoring_features(req, planted).first()
+    allyears = scoring_features(req, planted, scope="all").first()
+    want = (planted.features.where((F.col("APT_ICAO") == "AAA") & (F.col("MONTH_NUM") == 6))
+            .agg(F.avg("FLT_TOT_1")).first()[0])
+    assert allyears["avg_pre_pandemic_monthly_traffic"] == pytest.approx(want)
+    assert pre["avg_pre_pandemic_monthly_traffic"] != pytest.approx(want)
+    with pytest.raises(ValueError):
+        scoring_features(req, planted, scope="future")

@@ -114,3 +114,35 @@ def test_fold_other_ranks(spark):
     p = PreparedTraffic.cached(spark, SF001)
     folded = p.features.select("apt_group").distinct().count()
     assert folded <= 41
+
+
+def test_phase_groups_keep_other_last(spark):
+    from tarmac.operators import explore as X
+    rows = []
+    for i, n in enumerate([15, 20, 25, 30, 35]):
+        rows += daily(f"A{i}", "L", "2019-01-01", n, lambda d, i=i: 10 + 7 * i)
+    rows += daily("C", "L", "2020-04-01", 20, lambda d: 5)
+    rows.append(row("A0", "L", "2019-05-05", 7, year=None))
+    f = prepare(traffic(spark, rows)).features
+    got = X.log_by_phase(f).collect()
+    assert [r["pandemic_phase"] for r in got] == [
+        "Pre-Pandemic (2016-2019)", "Pandemic Peak Drop (Spring 2020)", "Other"]
+    assert got[-1]["phase_rank"] is None
+    assert [r["pandemic_phase"] for r in X.spread_by_phase(f).collect()][-1] == "Other"
+
+
+def test_volume_share_can_leave_absent_out(feats):
+    only = feats.where(F.col("airport_volume_category") == "Large")
+    got = S.volume_share(only, "2022-01-01", "2022-01-31", keep_absent=False).collect()
+    assert [r["airport_volume_category"] for r in got] == ["Large"]
+    assert got[0]["share_pct"] == pytest.approx(100.0)
+
+
+def test_fold_rare_and_report(spark, feats):
+    from tarmac.operators.folding import fold_rare
+    folded = fold_rare(feats, "APT_ICAO", 3, out="grp")
+    groups = {r["grp"] for r in folded.select("grp").distinct().collect()}
+    assert len(groups) == 4 and "Other" in groups
+    report = S.summary_report(feats, "2022-01-01", "2022-01-31")
+    assert set(report) >= {"kpi_totals", "pareto_airports", "volume_share"}
+    assert report["kpi_totals"].first()["total_ops"] > 0
