@@ -59,10 +59,17 @@ class PreparedTraffic:
         return self.features.sparkSession
 
     def train(self) -> DataFrame:
-        return self.features.where(F.col("FLT_DATE") < F.lit(SPLIT_DATE).cast("date"))
+        """Rows before the split date (the year bound prunes partitions)."""
+        cond = F.col("FLT_DATE") < F.lit(SPLIT_DATE).cast("date")
+        if PARTITION_COLUMN in self.features.columns:
+            cond = cond & (F.col(PARTITION_COLUMN) <= int(SPLIT_DATE[:4]))
+        return self.features.where(cond)
 
     def test(self) -> DataFrame:
-        return self.features.where(F.col("FLT_DATE") >= F.lit(SPLIT_DATE).cast("date"))
+        cond = F.col("FLT_DATE") >= F.lit(SPLIT_DATE).cast("date")
+        if PARTITION_COLUMN in self.features.columns:
+            cond = cond & (F.col(PARTITION_COLUMN) >= int(SPLIT_DATE[:4]))
+        return self.features.where(cond)
 
     def lookups_small(self) -> tuple[bool | None, bool | None]:
         """Whether the monthly / overall lookups are small enough to broadcast,
