@@ -1,48 +1,68 @@
-"""Text labels of the summary cards.
+"""Text labels of the summary cards, as built-in Column expressions.
 
-The number formats follow Python's own float formatting (round half to even on
-the binary value).  Spark's ``format_string`` rounds half up on the decimal
-text (12.35 -> "12.4" where Python prints "12.3"), so the two formatters are
-small vectorized pandas UDFs; they only ever see the one-row KPI result.
-Everything else is a built-in expression.
+The cards print numbers with one decimal the way Python's float formatting
+does: the exact binary value is rounded to the nearest tenth, ties to even.
+Spark's ``format_string`` rounds half up on the shortest decimal text instead
+(12.35 is stored as 12.3499999..., Python prints "12.3", ``format_string``
+"12.4"), so the rounding is done here with plain double arithmetic:
+
+* ``m = floor(10a)`` is a first guess of the tenths (it may be off by one);
+* splitting ``a`` into ``hi + lo`` (each half short enough that ``hi * 10`` and
+  ``lo * 10`` are exact) gives the exact sign of ``10a - (m + 0.5)``;
+* the sign picks ``m`` or ``m + 1`` (an exact tie goes to the even one), and
+  the integer is printed as ``k div 10 "." k mod 10``.
+
+Valid for |x| < 2^49, far beyond flight counts and percentages.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import types as T
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+
+_SPLIT = 134217729.0  # 2^27 + 1
+
+
+def _is_negative(x: Column) -> Column:
+    """x < 0, with -0.0 counted as negative (Python prints "-0.0")."""
+    return (x < 0) | ((x == 0) & x.cast("string").startswith("-"))
 
 
-@pandas_udf(T.StringType())
-def _compact(values: pd.Series) -> pd.Series:
-    def one(v):
-        if pd.isna(v):
-            return None
-        n = int(v)
-        if abs(n) >= 1e6:
-            return f"{n / 1e6:.1f}M"
-        if abs(n) >= 1e3:
-            return f"{n / 1e3:.1f}K"
-        return str(n)
-    return values.map(one).astype("object")
+def _tenths(a: Column) -> Column:
+    """round(10 * a) to the nearest integer, ties to even, exactly (a >= 0)."""
+    c = a * F.lit(_SPLIT)
+    hi = c - (c - a)
+    lo = a - hi
+    m = F.floor(a * F.lit(10.0))
+    diff = (hi * F.lit(10.0) - (m + F.lit(0.5))) + lo * F.lit(10.0)
+    return (F.when(diff > 0, m + 1)
+            .when(diff < 0, m)
+            .when(m % 2 == 0, m)
+            .otherwise(m + 1))
 
 
-@pandas_udf(T.StringType())
-def _signed_percent(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if pd.isna(v) else f"{v:+.1f}%").astype("object")
+def fixed1(x: Column, plus: bool = False) -> Column:
+    """Python's ``f"{x:.1f}"`` (``f"{x:+.1f}"`` with ``plus``); NULL stays NULL."""
+    x = x.cast("double")
+    k = _tenths(F.abs(x))
+    sign = F.when(_is_negative(x), F.lit("-")).otherwise(F.lit("+" if plus else ""))
+    whole = ((k - k % 10) / 10).cast("bigint")  # exact: k - k % 10 is a multiple of 10
+    text = F.concat(sign, whole.cast("string"), F.lit("."), (k % 10).cast("string"))
+    return F.when(x.isNotNull(), text)
 
 
 def compact(n: Column) -> Column:
-    """1234567 -> "1.2M", 3456 -> "3.5K", 999 -> "999"."""
-    return _compact(n.cast("bigint"))
+    """1234567 -> "1.2M", 3456 -> "3.5K", 999 -> "999" (integer part of n)."""
+    n = n.cast("bigint")
+    return (F.when(n.isNull(), F.lit(None).cast("string"))
+            .when(F.abs(n) >= 1_000_000, F.concat(fixed1(n / F.lit(1e6)), F.lit("M")))
+            .when(F.abs(n) >= 1_000, F.concat(fixed1(n / F.lit(1e3)), F.lit("K")))
+            .otherwise(n.cast("string")))
 
 
 def signed_percent(pct: Column) -> Column:
-    """12.345 -> "+12.3%"; NULL (no reference traffic) -> "-"."""
-    return F.coalesce(_signed_percent(pct.cast("double")), F.lit("-"))
+    """12.345 -> "+12.3%"; NULL (no change to show) -> "-"."""
+    return F.coalesce(F.concat(fixed1(pct, plus=True), F.lit("%")), F.lit("-"))
 
 
 def change_class(pct: Column) -> Column:

@@ -65,3 +65,22 @@ def test_pareto_properties_random(spark, seed):
         running += r["total"]
         assert r["cumulative_pct"] == pytest.approx(running / total * 100)
     assert len(p) == 10
+
+
+def test_fixed1_matches_python_formatting(spark):
+    from tarmac.functions.labels import fixed1, signed_percent
+    tenths = RNG.integers(-10**7, 10**7, 20000)
+    values = np.concatenate([
+        tenths / 10 + 0.05,                       # decimal ties, mostly inexact in binary
+        RNG.integers(0, 4000, 2000) / 4,          # exact binary ties (.25, .75)
+        RNG.uniform(-1e6, 1e6, 20000),
+        RNG.normal(0, 1, 5000),
+        RNG.integers(-10**9, 10**9, 5000) / 1e3,  # the K labels
+        RNG.integers(-10**12, 10**12, 5000) / 1e6,  # the M labels
+        [0.0, -0.0, 0.04, -0.04, 0.05, -0.05, 0.15, 0.25, 0.35, 2.675, 1e-300, 123456789.95],
+    ])
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    got = df.select(fixed1(F.col("x")).alias("a"), signed_percent(F.col("x")).alias("b")).collect()
+    for v, r in zip(values, got):
+        assert r["a"] == f"{v:.1f}", v
+        assert r["b"] == f"{v:+.1f}%", v
