@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import VOLUME_LABELS, volume_levels
-from ..functions.labels import change_class, compact, signed_percent
+from ..functions.labels import change_class, with_labels
 from .joins import lookup_join
 
 REFERENCE_YEAR = 2019
@@ -98,12 +98,12 @@ def kpi_change(features: DataFrame, start, end) -> DataFrame:
 def kpi_labels(features: DataFrame, start, end) -> DataFrame:
     """Card texts: compact totals, signed change and its style class."""
     sums = _range_sums(features, start, end).withColumn("change_pct", _change_pct())
-    return sums.select(
-        compact(F.col("total_ops")).alias("total_label"),
-        compact(F.col("total_arrivals")).alias("arrivals_label"),
-        compact(F.col("total_departures")).alias("departures_label"),
-        signed_percent(F.col("change_pct")).alias("change_text"),
-        change_class(F.col("change_pct")).alias("change_class"))
+    sums = with_labels(sums,
+                       compact={"total_ops": "total_label", "total_arrivals": "arrivals_label",
+                                "total_departures": "departures_label"},
+                       signed_percent={"change_pct": "change_text"})
+    return sums.select("total_label", "arrivals_label", "departures_label", "change_text",
+                       change_class(F.col("change_pct")).alias("change_class"))
 
 
 def daily_ops(features: DataFrame, start, end) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarmac.functions import PHASE_ORDER, calendar_columns, cyclic_columns, phase, volume_category
-from tarmac.functions.labels import change_class, compact, signed_percent
+from tarmac.functions.labels import change_class, with_compact, with_signed_percent
 
 
 def test_phase_rules(spark):
@@ -70,14 +70,14 @@ def test_volume_category_needs_distinct_edges():
 def test_compact_matches_python(spark, n):
     def py(v):
         return f"{v / 1e6:.1f}M" if abs(v) >= 1e6 else f"{v / 1e3:.1f}K" if abs(v) >= 1e3 else str(v)
-    got = spark.createDataFrame([(n,)], "n bigint").select(compact(F.col("n"))).first()[0]
+    got = with_compact(spark.createDataFrame([(n,)], "n bigint"), "n", "t").first()["t"]
     assert got == py(n)
 
 
 @pytest.mark.parametrize("pct", [12.35, 0.25, -0.04, 0.0, 3.651512609741095, -100.0, None])
 def test_signed_percent_and_class(spark, pct):
-    r = spark.createDataFrame([(pct,)], "p double").select(
-        signed_percent(F.col("p")).alias("t"), change_class(F.col("p")).alias("c")).first()
+    r = with_signed_percent(spark.createDataFrame([(pct,)], "p double"), "p", "t") \
+        .select("t", change_class(F.col("p")).alias("c")).first()
     assert r["t"] == ("-" if pct is None else f"{pct:+.1f}%")
     want = ("kpi-change-neutral" if pct is None or pct == 0
             else "kpi-change-positive" if pct > 0 else "kpi-change-negative")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarmac.functions import volume_category
-from tarmac.functions.labels import compact
+from tarmac.functions.labels import with_compact
 from tarmac.operators.bins import volume_bin_table
 
 RNG = np.random.default_rng(42)
@@ -39,7 +39,7 @@ def test_compact_matches_python_in_bulk(spark):
     ns = np.concatenate([RNG.integers(-3_000_000, 3_000_000, 3000),
                          np.arange(0, 200_000, 50), [999, 1000, 999_999, 1_000_000]])
     df = spark.createDataFrame([(int(n),) for n in ns], "n bigint")
-    got = [r[0] for r in df.select(compact(F.col("n"))).collect()]
+    got = [r["t"] for r in with_compact(df, "n", "t").collect()]
 
     def py(v):
         return f"{v / 1e6:.1f}M" if abs(v) >= 1e6 else f"{v / 1e3:.1f}K" if abs(v) >= 1e3 else str(v)
@@ -68,7 +68,7 @@ def test_pareto_properties_random(spark, seed):
 
 
 def test_fixed1_matches_python_formatting(spark):
-    from tarmac.functions.labels import fixed1, signed_percent
+    from tarmac.functions.labels import with_fixed1, with_signed_percent
     tenths = RNG.integers(-10**7, 10**7, 20000)
     values = np.concatenate([
         tenths / 10 + 0.05,                       # decimal ties, mostly inexact in binary
@@ -80,7 +80,7 @@ def test_fixed1_matches_python_formatting(spark):
         [0.0, -0.0, 0.04, -0.04, 0.05, -0.05, 0.15, 0.25, 0.35, 2.675, 1e-300, 123456789.95],
     ])
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    got = df.select(fixed1(F.col("x")).alias("a"), signed_percent(F.col("x")).alias("b")).collect()
+    got = with_signed_percent(with_fixed1(df, [("x", "a", False)]), "x", "b").collect()
     for v, r in zip(values, got):
         assert r["a"] == f"{v:.1f}", v
         assert r["b"] == f"{v:+.1f}%", v
