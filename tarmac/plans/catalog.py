@@ -166,7 +166,8 @@ def q_lookup_all_years(spark, sf_dir):
         "avg_pre_pandemic_monthly_traffic", "avg_monthly_all_years")
     overall = baseline_overall(stats, scope="all").withColumnRenamed(
         OVERALL_COL, "avg_overall_all_years")
-    return rounded(lookup_join(monthly, overall, ["APT_ICAO"], "inner"))
+    small = _prep(spark, sf_dir).stats_small()
+    return rounded(lookup_join(monthly, overall, ["APT_ICAO"], "inner", small=small))
 
 
 def q_volume_bins(spark, sf_dir):

@@ -52,6 +52,7 @@ class PreparedTraffic:
     edges: list[float]
     monthly_rows: int | None = None
     overall_rows: int | None = None
+    stats_rows: int | None = None
     labels: list[str] = field(default_factory=lambda: list(VOLUME_LABELS))
 
     @property
@@ -78,6 +79,13 @@ class PreparedTraffic:
         return (None if self.monthly_rows is None else self.monthly_rows <= limit,
                 None if self.overall_rows is None else self.overall_rows <= limit)
 
+    def stats_small(self) -> bool | None:
+        """Any per-airport or per-(airport, month) table derived from the
+        statistics has at most ``stats_rows`` rows: a proven broadcast bound."""
+        if self.stats_rows is None:
+            return None
+        return self.stats_rows <= broadcast_limit(self.features)
+
     @property
     def countries(self) -> DataFrame:
         """(APT_ICAO, STATE_NAME): the first (smallest) country per airport."""
@@ -138,7 +146,7 @@ def prepare(traffic: DataFrame, materialize: str | None = None,
     if materialize:
         traffic = traffic.persist(level)
     stats = airport_month_stats(traffic)
-    monthly_rows = overall_rows = None
+    monthly_rows = overall_rows = stats_rows = None
     if materialize == "table":
         stats = write_table(stats, "airport-month-stats")
     elif materialize == "cache":
@@ -148,6 +156,7 @@ def prepare(traffic: DataFrame, materialize: str | None = None,
     if materialize:
         monthly, overall = monthly.persist(level), overall.persist(level)
         monthly_rows, overall_rows = monthly.count(), overall.count()
+        stats_rows = stats.count()
     fill = global_mean(stats)
     edges = volume_bins(weighted_airport_values(stats, overall, fill))
 
@@ -175,4 +184,5 @@ def prepare(traffic: DataFrame, materialize: str | None = None,
         df = df.persist(level)
         df.count()
         traffic.unpersist()
-    return PreparedTraffic(df, stats, monthly, overall, fill, edges, monthly_rows, overall_rows)
+    return PreparedTraffic(df, stats, monthly, overall, fill, edges, monthly_rows, overall_rows,
+                           stats_rows)
