@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.binning import volume_category
 from ..functions.phases import phase, phase_levels
 from ..functions.numeric import inverse_log, log_target
 from ..ml.scoring import forecast_context, scoring_features
@@ -176,9 +177,15 @@ def q_volume_bins(spark, sf_dir):
 
 
 def q_volume_category(spark, sf_dir):
-    f = _features(spark, sf_dir)
-    return rounded(f.where(F.col("APT_ICAO").isNotNull())
-                   .select("APT_ICAO", OVERALL_COL, "airport_volume_category").distinct())
+    """Category of every airport, from the airport-level tables (no scan of
+    the fact rows): the filled overall baseline binned with the stored edges."""
+    p = _prep(spark, sf_dir)
+    airports = p.stats.where(F.col("APT_ICAO").isNotNull()).select("APT_ICAO").distinct()
+    value = F.coalesce(F.col(OVERALL_COL), F.lit(p.global_mean))
+    out = (lookup_join(airports, p.overall, ["APT_ICAO"], "left", small=p.lookups_small()[1])
+           .select("APT_ICAO", value.alias(OVERALL_COL),
+                   volume_category(value, p.edges).alias("airport_volume_category")))
+    return rounded(out)
 
 
 # -- exploration --------------------------------------------------------------
