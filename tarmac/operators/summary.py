@@ -114,14 +114,16 @@ def daily_ops(features: DataFrame, start, end) -> DataFrame:
             .orderBy("FLT_DATE"))
 
 
-def _ranked_with_total(selection: DataFrame, key: str, k: int) -> DataFrame:
-    """Top ``k`` keys by total and the grand total of the selection.
+def _ranked_with_total(selection: DataFrame, key: str, k: int, rank_nulls: bool) -> DataFrame:
+    """Top ``k`` keys by total and the grand total of the whole selection
+    (rows with a NULL key count in the total even when they are not ranked).
 
     The per-key aggregate is computed once (its exchange is reused by both
     branches); the top-k plans as TakeOrderedAndProject and the grand total is
     a one-row union member, so the final window sees at most k + 1 rows."""
     per_key = selection.groupBy(key).agg(_sum0(F.col("FLT_TOT_1"), "total"))
-    top = (per_key.orderBy(F.desc("total"), F.asc(key)).limit(k)
+    ranked = per_key if rank_nulls else per_key.where(F.col(key).isNotNull())
+    top = (ranked.orderBy(F.desc("total"), F.asc(key)).limit(k)
            .withColumn("__is_total", F.lit(False)))
     grand = (per_key.agg(_sum0(F.col("total"), "total"))
              .select(F.lit(None).cast("string").alias(key), "total",
@@ -133,13 +135,11 @@ def pareto_airports(features: DataFrame, start, end, fold: bool = True, k: int =
     """Top ``k`` airports of the range by total, with the running total as a
     percent of the whole range.  ``fold=True`` ranks the dashboard groups (40
     busiest airports, the rest as ``Other``); ``fold=False`` ranks every
-    airport (NULL airports are left out)."""
+    airport (NULL airports are not ranked but count in the total)."""
     sel = in_range(features, start, end)
     if fold:
         sel = sel.withColumn("APT_ICAO", F.col("apt_group"))
-    else:
-        sel = sel.where(F.col("APT_ICAO").isNotNull())
-    both = _ranked_with_total(sel, "APT_ICAO", k)
+    both = _ranked_with_total(sel, "APT_ICAO", k, rank_nulls=fold)
     order = Window.orderBy(F.col("__is_total"), F.desc("total"), F.asc("APT_ICAO"))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     grand = F.max(F.when(F.col("__is_total"), F.col("total"))).over(Window.partitionBy())

@@ -146,3 +146,17 @@ def test_fold_rare_and_report(spark, feats):
     report = S.summary_report(feats, "2022-01-01", "2022-01-31")
     assert set(report) >= {"kpi_totals", "pareto_airports", "volume_share"}
     assert report["kpi_totals"].first()["total_ops"] > 0
+
+
+def test_unfolded_pareto_total_includes_null_airports(spark):
+    rows = []
+    for i in range(8):
+        rows += daily(f"A{i}", "L", "2019-01-01", 20, lambda d, i=i: 10 + 7 * i)
+    rows.append(row(None, "L", "2019-01-03", 1000))
+    f = prepare(traffic(spark, rows)).features
+    p = S.pareto_airports(f, "2019-01-01", "2019-01-31", fold=False).collect()
+    assert None not in [r["APT_ICAO"] for r in p]
+    grand = S.kpi_totals(f, "2019-01-01", "2019-01-31").first()["total_ops"]
+    assert p[0]["cumulative_pct"] == pytest.approx(p[0]["total"] / grand * 100)
+    folded = S.pareto_airports(f, "2019-01-01", "2019-01-31", fold=True).collect()
+    assert folded[0]["APT_ICAO"] == "Other" and folded[0]["total"] == 1000
