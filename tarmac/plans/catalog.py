@@ -120,6 +120,10 @@ def q_daytype_share(spark, sf_dir):
     return rounded(S.daytype_share(_features(spark, sf_dir), START, END))
 
 
+def q_daytype_share_fr(spark, sf_dir):
+    return rounded(S.daytype_share(_features(spark, sf_dir), START, END, lang="fr"))
+
+
 # -- features -----------------------------------------------------------------
 
 def q_calendar_features(spark, sf_dir):
@@ -234,6 +238,10 @@ def q_airport_directory(spark, sf_dir):
     return X.airport_directory(_prep(spark, sf_dir).stats, fixture_country_labels(spark, sf_dir), "en")
 
 
+def q_airport_directory_fr(spark, sf_dir):
+    return X.airport_directory(_prep(spark, sf_dir).stats, fixture_country_labels(spark, sf_dir), "fr")
+
+
 def q_fold_rare_keys(spark, sf_dir):
     return X.fold_rare_keys(_features(spark, sf_dir))
 

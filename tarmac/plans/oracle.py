@@ -265,8 +265,9 @@ SELECT CAST(volume_rank AS INTEGER) AS volume_rank, airport_volume_category, tot
        round(CASE WHEN SUM(total) OVER () > 0 THEN total / CAST(SUM(total) OVER () AS DOUBLE) * 100 END, 6)
          AS share_pct
 FROM l"""
-    q["daytype_share"] = BASE + """,
-d AS (SELECT CASE WHEN is_weekend = 1 THEN 'Weekend' ELSE 'Weekday' END AS day_type,
+    for key, weekday in (("daytype_share", "Weekday"), ("daytype_share_fr", "Jour de semaine")):
+        q[key] = BASE + f""",
+d AS (SELECT CASE WHEN is_weekend = 1 THEN 'Weekend' ELSE '{weekday}' END AS day_type,
              CAST(COALESCE(SUM(FLT_TOT_1), 0) AS BIGINT) AS total FROM sel GROUP BY 1)
 SELECT day_type, total,
        round(CASE WHEN SUM(total) OVER () > 0 THEN total / CAST(SUM(total) OVER () AS DOUBLE) * 100 END, 6)
@@ -356,9 +357,10 @@ WHERE c.lat IS NOT NULL AND c.lon IS NOT NULL"""
     q["mapped_airports"] = BASE + """
 SELECT DISTINCT APT_ICAO, STATE_NAME FROM traffic
 WHERE APT_ICAO IN (SELECT airport FROM coordinates)"""
-    q["airport_directory"] = BASE + """,
+    for key, lang in (("airport_directory", "en"), ("airport_directory_fr", "fr")):
+        q[key] = BASE + f""",
 ac AS (SELECT DISTINCT APT_ICAO, STATE_NAME FROM traffic WHERE APT_ICAO IS NOT NULL),
-lab AS (SELECT name, label FROM country_labels WHERE lang = 'en')
+lab AS (SELECT name, label FROM country_labels WHERE lang = '{lang}')
 SELECT ac.APT_ICAO, ac.STATE_NAME, COALESCE(lab.label, ac.STATE_NAME) AS country_label,
        ac.APT_ICAO || ' (' || COALESCE(lab.label, ac.STATE_NAME) || ')' AS label
 FROM ac LEFT JOIN lab ON ac.STATE_NAME = lab.name"""
