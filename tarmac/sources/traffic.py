@@ -21,11 +21,16 @@ LATE_OPENING_DATE = "2020-01-01"
 
 
 def read_traffic_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header row, explicit schema, no inference."""
-    return (spark.read.schema(RAW_SCHEMA)
-            .option("header", True)
-            .option("mode", "PERMISSIVE")
-            .csv(path))
+    """CSV with a header row, typed by name (no inference, no reliance on
+    the column order; extra columns are ignored, malformed values become
+    NULL, a missing column is an error)."""
+    text = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    missing = [f.name for f in RAW_SCHEMA.fields if f.name not in text.columns]
+    if missing:
+        raise ValueError(f"{path}: missing columns {missing}")
+    return text.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name)
+                         if not isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
+                         for f in RAW_SCHEMA.fields])
 
 
 def read_traffic_parquet(spark: SparkSession, path: str) -> DataFrame:

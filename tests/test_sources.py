@@ -55,3 +55,22 @@ def test_scan_keeps_nulls(spark):
     from helpers import row, traffic
     df = traffic(spark, [row(None, None, "2019-01-01", None), row("A", "X", "2019-01-01", 3)])
     assert scan_traffic(df).count() == 2
+
+
+def test_csv_by_name_any_order(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "reordered.csv")
+    cols = HEADER.split(",")
+    order = list(reversed(cols)) + ["EXTRA"]
+    values = dict(zip(cols, "2019,3,MAR,2019-03-15,EDDF,Frankfurt,Germany,600,610,1210,,,,x".split(",")))
+    values["FLT_TOT_1"] = "12x"  # malformed -> NULL
+    with open(path, "w") as f:
+        f.write(",".join(order) + "\n")
+        f.write(",".join(values.get(c, "junk") for c in order) + "\n")
+    r = scan_traffic(read_traffic_csv(spark, path)).first()
+    assert (r["APT_ICAO"], r["FLT_DEP_1"], r["FLT_ARR_1"]) == ("EDDF", 600, 610)
+    assert r["FLT_TOT_1"] is None
+    bad = os.path.join(tmpdir_path, "bad.csv")
+    with open(bad, "w") as f:
+        f.write("YEAR,FLT_DATE\n2019,2019-01-01\n")
+    with pytest.raises(ValueError, match="missing columns"):
+        read_traffic_csv(spark, bad)
