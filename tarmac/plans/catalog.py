@@ -112,10 +112,20 @@ def q_top_countries(spark, sf_dir):
     return S.top_countries(_features(spark, sf_dir), START, END)
 
 
+def q_top_countries_unfolded(spark, sf_dir):
+    """The earlier dashboard: every country ranked, no folding."""
+    return S.top_countries(_features(spark, sf_dir), START, END, fold=False)
+
+
 def q_volume_share(spark, sf_dir):
     return rounded(S.volume_share(_features(spark, sf_dir), START, END))
 
 
+def q_volume_share_observed(spark, sf_dir):
+    """The earlier dashboard: categories without flights in the range are left out."""
+    return rounded(S.volume_share(_features(spark, sf_dir), START, END, keep_absent=False))
+
+
 def q_daytype_share(spark, sf_dir):
     return rounded(S.daytype_share(_features(spark, sf_dir), START, END))
 

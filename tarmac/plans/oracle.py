@@ -256,6 +256,18 @@ FROM sel GROUP BY FLT_DATE"""
     q["top_countries"] = BASE + """
 SELECT state_group AS STATE_NAME, CAST(COALESCE(SUM(FLT_TOT_1), 0) AS BIGINT) AS total
 FROM sel GROUP BY 1 ORDER BY total DESC, STATE_NAME LIMIT 15"""
+    q["top_countries_unfolded"] = BASE + """
+SELECT STATE_NAME, CAST(COALESCE(SUM(FLT_TOT_1), 0) AS BIGINT) AS total
+FROM sel WHERE STATE_NAME IS NOT NULL GROUP BY 1 ORDER BY total DESC, STATE_NAME LIMIT 15"""
+    q["volume_share_observed"] = BASE + f""",
+v AS (SELECT airport_volume_category, SUM(FLT_TOT_1) AS total FROM sel
+      WHERE airport_volume_category IS NOT NULL GROUP BY 1),
+l AS (SELECT vl.volume_rank, vl.airport_volume_category, CAST(v.total AS BIGINT) AS total
+      FROM {VOLUME_LEVELS} JOIN v ON vl.airport_volume_category = v.airport_volume_category)
+SELECT CAST(volume_rank AS INTEGER) AS volume_rank, airport_volume_category, total,
+       round(CASE WHEN SUM(total) OVER () > 0 THEN total / CAST(SUM(total) OVER () AS DOUBLE) * 100 END, 6)
+         AS share_pct
+FROM l"""
     q["volume_share"] = BASE + f""",
 v AS (SELECT airport_volume_category, SUM(FLT_TOT_1) AS total FROM sel
       WHERE airport_volume_category IS NOT NULL GROUP BY 1),
