@@ -74,3 +74,19 @@ def test_csv_by_name_any_order(spark, tmpdir_path):
         f.write("YEAR,FLT_DATE\n2019,2019-01-01\n")
     with pytest.raises(ValueError, match="missing columns"):
         read_traffic_csv(spark, bad)
+
+
+def test_csv_round_trip_gives_the_same_features(spark, tmpdir_path):
+    from tarmac.plans.prepare import prepare
+    raw = fixture_raw(spark, SF001)
+    path = os.path.join(tmpdir_path, "flights_csv")
+    (raw.withColumn("FLT_DATE", F.date_format("FLT_DATE", "yyyy-MM-dd'T'00:00:00'Z'"))
+        .write.option("header", True).csv(path))
+    from_csv = prepare(scan_traffic(read_traffic_csv(spark, path)))
+    from_parquet = prepare(fixture_traffic(spark, SF001))
+    assert from_csv.edges == pytest.approx(from_parquet.edges)
+    cols = ["APT_ICAO", "FLT_DATE", "FLT_TOT_1", "avg_pre_pandemic_monthly_traffic",
+            "airport_volume_category", "pandemic_phase", "apt_group"]
+    a = from_csv.features.select(*cols).exceptAll(from_parquet.features.select(*cols)).count()
+    b = from_parquet.features.select(*cols).exceptAll(from_csv.features.select(*cols)).count()
+    assert a == 0 and b == 0
