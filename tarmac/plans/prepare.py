@@ -54,6 +54,7 @@ class PreparedTraffic:
     overall_rows: int | None = None
     stats_rows: int | None = None
     labels: list[str] = field(default_factory=lambda: list(VOLUME_LABELS))
+    tables: list[str] = field(default_factory=list)  # paths written by ``prepare``
 
     @property
     def spark(self) -> SparkSession:
@@ -96,6 +97,14 @@ class PreparedTraffic:
         for df in (self.features, self.stats, self.monthly, self.overall):
             df.unpersist()
 
+    def release(self) -> None:
+        """Unpersist and delete the tables this preparation wrote (explicit;
+        nothing calls it for you, as queries may still read them)."""
+        self.unpersist()
+        for path in self.tables:
+            delete_path(self.spark, path)
+        self.tables.clear()
+
     @classmethod
     def cached(cls, spark: SparkSession, sf_dir: str) -> "PreparedTraffic":
         """One prepared copy per session and fixture folder."""
@@ -118,7 +127,15 @@ def add_calendar(df: DataFrame) -> DataFrame:
     return df.withColumns(cyclic_columns(F.col("day_of_year"), F.col("MONTH_NUM")))
 
 
-def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Recursive delete through Hadoop's FileSystem (any shared store)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None,
+                written: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and return
     the re-read table (lineage cut, column pruning and partition pruning).
 
@@ -134,6 +151,8 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    if written is not None:
+        written.append(path)
     return spark.read.parquet(path)
 
 
@@ -149,12 +168,13 @@ def prepare(traffic: DataFrame, materialize: str | None = None,
     if materialize not in (None, "cache", "table"):
         raise ValueError(f"materialize must be None, 'cache' or 'table', got {materialize!r}")
     level = StorageLevel.MEMORY_AND_DISK
+    written: list[str] = []
     if materialize:
         traffic = traffic.persist(level)
     stats = airport_month_stats(traffic)
     monthly_rows = overall_rows = stats_rows = None
     if materialize == "table":
-        stats = write_table(stats, "airport-month-stats")
+        stats = write_table(stats, "airport-month-stats", written=written)
     elif materialize == "cache":
         stats = stats.persist(level)
     monthly = baseline_monthly(stats)
@@ -184,11 +204,11 @@ def prepare(traffic: DataFrame, materialize: str | None = None,
                      top_keys_by_rows(stats, "STATE_NAME", top_countries))
     df = df.withColumn(PARTITION_COLUMN, F.year("FLT_DATE"))
     if materialize == "table":
-        df = write_table(df, "features", [PARTITION_COLUMN])
+        df = write_table(df, "features", [PARTITION_COLUMN], written=written)
         traffic.unpersist()
     elif materialize == "cache":
         df = df.persist(level)
         df.count()
         traffic.unpersist()
     return PreparedTraffic(df, stats, monthly, overall, fill, edges, monthly_rows, overall_rows,
-                           stats_rows)
+                           stats_rows, tables=written)

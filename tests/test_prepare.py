@@ -104,3 +104,14 @@ def test_materialize_modes_agree(spark, edge):
     b = sorted(table.features.select(*cols).collect(), key=str)
     assert a == b
     assert table.monthly_rows == lazy.monthly.count()
+
+
+def test_release_deletes_written_tables(spark, edge):
+    import os
+    p = prepare(edge, materialize="table")
+    paths = list(p.tables)
+    assert len(paths) == 2
+    local = [q.replace("file:", "") for q in paths]
+    assert all(os.path.exists(q) for q in local)
+    p.release()
+    assert not any(os.path.exists(q) for q in local) and p.tables == []
