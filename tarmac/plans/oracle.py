@@ -36,9 +36,10 @@ VOLUME_LEVELS = ("(VALUES (1, 'Small'), (2, 'Medium'), (3, 'Large'), (4, 'Very L
 
 
 def _category(x: str) -> str:
-    return f"""CASE WHEN {x} IS NULL OR {x} < q[1] OR {x} > q[5] THEN NULL
-      WHEN {x} <= q[2] THEN 'Small' WHEN {x} <= q[3] THEN 'Medium'
-      WHEN {x} <= q[4] THEN 'Large' ELSE 'Very Large' END"""
+    q = [f"(SELECT q[{i}] FROM edges)" for i in range(1, 6)]
+    return f"""CASE WHEN {x} IS NULL OR {x} < {q[0]} OR {x} > {q[4]} THEN NULL
+      WHEN {x} <= {q[1]} THEN 'Small' WHEN {x} <= {q[2]} THEN 'Medium'
+      WHEN {x} <= {q[3]} THEN 'Large' ELSE 'Very Large' END"""
 
 
 def _calendar(d: str = "FLT_DATE") -> str:
@@ -82,12 +83,11 @@ overall AS (
 gm AS (SELECT AVG(FLT_TOT_1) AS g FROM pre),
 enriched AS (
   SELECT t.*,
-         COALESCE(m.avg_pre_pandemic_monthly_traffic, gm.g) AS avg_pre_pandemic_monthly_traffic,
-         COALESCE(o.avg_traffic_pre_pandemic_overall, gm.g) AS avg_traffic_pre_pandemic_overall
+         COALESCE(m.avg_pre_pandemic_monthly_traffic, (SELECT g FROM gm)) AS avg_pre_pandemic_monthly_traffic,
+         COALESCE(o.avg_traffic_pre_pandemic_overall, (SELECT g FROM gm)) AS avg_traffic_pre_pandemic_overall
   FROM traffic t
   LEFT JOIN monthly m ON t.APT_ICAO = m.APT_ICAO AND t.MONTH_NUM = m.MONTH_NUM
   LEFT JOIN overall o ON t.APT_ICAO = o.APT_ICAO
-  CROSS JOIN gm
 ),
 edges AS (
   SELECT quantile_cont(avg_traffic_pre_pandemic_overall, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q
@@ -109,16 +109,18 @@ feat AS (
          CASE WHEN APT_ICAO IN (SELECT APT_ICAO FROM top_apt) THEN APT_ICAO ELSE 'Other' END AS apt_group,
          CASE WHEN STATE_NAME IN (SELECT STATE_NAME FROM top_state) THEN STATE_NAME ELSE 'Other' END
            AS state_group
-  FROM enriched e CROSS JOIN edges
+  FROM enriched e
 ),
 train AS (SELECT * FROM feat WHERE FLT_DATE < DATE '{SPLIT}'),
 sel AS (SELECT * FROM feat WHERE FLT_DATE BETWEEN DATE '{START}' AND DATE '{END}'),
 requests AS (
-  SELECT s_name AS airport, CAST(d AS DATE) AS flt_date
-  FROM supplier CROSS JOIN (VALUES {", ".join(f"('{d}')" for d in REQUEST_DATES)}) AS v(d)
+  SELECT s_name AS airport,
+         unnest([{", ".join(f"DATE '{d}'" for d in REQUEST_DATES)}]) AS flt_date
+  FROM supplier
   UNION ALL
-  SELECT '{UNKNOWN_AIRPORT_PREFIX}' || n_name, CAST(d AS DATE)
-  FROM nation CROSS JOIN (VALUES {", ".join(f"('{d}')" for d in REQUEST_DATES[-2:])}) AS v(d)
+  SELECT '{UNKNOWN_AIRPORT_PREFIX}' || n_name,
+         unnest([{", ".join(f"DATE '{d}'" for d in REQUEST_DATES[-2:])}])
+  FROM nation
 ),
 coordinates AS (
   SELECT s_name AS airport, CAST(35.0 AS DOUBLE) + (s_suppkey % 25) * CAST(1.01 AS DOUBLE) AS lat,
@@ -144,8 +146,8 @@ SELECT CAST(ROW_NUMBER() OVER (ORDER BY total DESC, APT_ICAO) AS INTEGER) AS ran
        CAST(total AS BIGINT) AS total,
        round(CAST(SUM(total) OVER (ORDER BY total DESC, APT_ICAO
                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
-             / g * 100, 6) AS cumulative_pct
-FROM top CROSS JOIN grand"""
+             / (SELECT g FROM grand) * 100, 6) AS cumulative_pct
+FROM top"""
 
 
 def _log_by(key: str) -> str:
@@ -322,8 +324,8 @@ FROM m JOIN o ON m.APT_ICAO = o.APT_ICAO"""
     q["volume_bins"] = BASE + """
 SELECT CAST(i - 1 AS INTEGER) AS edge_index,
        CAST([0.0, 0.25, 0.5, 0.75, 1.0][i] AS DOUBLE) AS probability,
-       round(q[i], 6) AS edge
-FROM edges CROSS JOIN range(1, 6) AS r(i)"""
+       round((SELECT q FROM edges)[i], 6) AS edge
+FROM (SELECT unnest(range(1, 6)) AS i)"""
     q["volume_category"] = BASE + """
 SELECT DISTINCT APT_ICAO, round(avg_traffic_pre_pandemic_overall, 6) AS avg_traffic_pre_pandemic_overall,
        airport_volume_category
@@ -400,12 +402,11 @@ r AS (SELECT airport AS APT_ICAO, flt_date AS FLT_DATE,
 rf AS (
   SELECT r.*, {_calendar('r.FLT_DATE')}, {_phase_case('r.YEAR', 'r.MONTH_NUM')} AS pandemic_phase,
          COALESCE(ac.STATE_NAME, 'Other') AS STATE_NAME,
-         COALESCE(m.avg_pre_pandemic_monthly_traffic, gm.g) AS avg_pre_pandemic_monthly_traffic,
-         COALESCE(o.avg_traffic_pre_pandemic_overall, gm.g) AS avg_traffic_pre_pandemic_overall
+         COALESCE(m.avg_pre_pandemic_monthly_traffic, (SELECT g FROM gm)) AS avg_pre_pandemic_monthly_traffic,
+         COALESCE(o.avg_traffic_pre_pandemic_overall, (SELECT g FROM gm)) AS avg_traffic_pre_pandemic_overall
   FROM r LEFT JOIN ac ON r.APT_ICAO = ac.APT_ICAO
   LEFT JOIN monthly m ON r.APT_ICAO = m.APT_ICAO AND r.MONTH_NUM = m.MONTH_NUM
   LEFT JOIN overall o ON r.APT_ICAO = o.APT_ICAO
-  CROSS JOIN gm
 )"""
     q["scoring_features"] = BASE + scoring + f"""
 SELECT APT_ICAO, FLT_DATE, YEAR, MONTH_NUM, day_of_month, is_weekend,
@@ -415,7 +416,7 @@ SELECT APT_ICAO, FLT_DATE, YEAR, MONTH_NUM, day_of_month, is_weekend,
        round(month_sin, 6) AS month_sin, round(month_cos, 6) AS month_cos,
        STATE_NAME, day_of_week, quarter, pandemic_phase,
        {_category('avg_traffic_pre_pandemic_overall')} AS airport_volume_category
-FROM rf CROSS JOIN edges"""
+FROM rf"""
     q["forecast_context"] = BASE + """
 SELECT r.airport AS APT_ICAO, r.flt_date AS FLT_DATE, strftime(r.flt_date, '%B') AS month_name,
        round(m.avg_pre_pandemic_monthly_traffic, 6) AS historical_avg
