@@ -144,3 +144,10 @@ def test_scoring_all_year_scope(spark, planted):
     assert pre["avg_pre_pandemic_monthly_traffic"] != pytest.approx(want)
     with pytest.raises(ValueError):
         scoring_features(req, planted, scope="future")
+
+
+def test_gbt_can_watch_the_test_split(planted):
+    fitted, curve = TR.fit_gbt(planted, max_iter=3, max_depth=2, validation="test")
+    assert curve.count() == 3 and fitted.metrics.count() == 12
+    with pytest.raises(ValueError):
+        TR.fit_gbt(planted, max_iter=2, validation="nothing")
