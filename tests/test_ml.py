@@ -151,3 +151,12 @@ def test_gbt_can_watch_the_test_split(planted):
     assert curve.count() == 3 and fitted.metrics.count() == 12
     with pytest.raises(ValueError):
         TR.fit_gbt(planted, max_iter=2, validation="nothing")
+
+
+def test_standardizer_uses_population_deviation(spark, planted, ridge):
+    train = TR.model_rows(planted.train(), NUMERICAL_FEATURES, CATEGORICAL_FEATURES)
+    out = ridge.model.stages[0].transform(train)
+    for c in ["YEAR", "day_of_month", "avg_traffic_pre_pandemic_overall"]:
+        r = out.agg(F.avg(f"{c}__z").alias("m"), F.stddev_pop(f"{c}__z").alias("s")).first()
+        assert r["m"] == pytest.approx(0.0, abs=1e-9)
+        assert r["s"] == pytest.approx(1.0, rel=1e-9)
