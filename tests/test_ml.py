@@ -7,13 +7,12 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from helpers import daily, traffic
-from tarmac.ml import pipelines as P
 from tarmac.ml import training as TR
 from tarmac.ml.scoring import forecast_context, score_requests, scoring_features
 from tarmac.operators.metrics import metric_table
 from tarmac.plans.prepare import prepare
 from tarmac.sources.artifacts import load_artifacts, model_metrics, save_artifacts
-from tarmac.sources.schema import CATEGORICAL_FEATURES, LOG_TARGET, NUMERICAL_FEATURES, TARGET
+from tarmac.sources.schema import CATEGORICAL_FEATURES, LOG_TARGET, NUMERICAL_FEATURES
 
 BASE = {"AAA": 20, "BBB": 45, "CCC": 90, "DDD": 160, "EEE": 300, "FFF": 600}
 

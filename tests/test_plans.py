@@ -2,7 +2,6 @@
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF001
 from helpers import daily, traffic

@@ -1,6 +1,4 @@
-import datetime as dt
 
-import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
