@@ -159,3 +159,11 @@ def test_standardizer_uses_population_deviation(spark, planted, ridge):
         r = out.agg(F.avg(f"{c}__z").alias("m"), F.stddev_pop(f"{c}__z").alias("s")).first()
         assert r["m"] == pytest.approx(0.0, abs=1e-9)
         assert r["s"] == pytest.approx(1.0, rel=1e-9)
+
+
+def test_solver_switches_past_the_normal_equation_limit():
+    from tarmac.ml import pipelines as P
+    assert P.ols_pipeline(n_features=100).getStages()[-1].getSolver() == "normal"
+    assert P.ols_pipeline(n_features=5000).getStages()[-1].getSolver() == "l-bfgs"
+    assert P.ridge_pipeline(0.1, n_features=4096).getStages()[-1].getSolver() == "normal"
+    assert P.ridge_pipeline(0.1, n_features=4097).getStages()[-1].getSolver() == "l-bfgs"

@@ -59,3 +59,10 @@ def test_entry(spark):
     rows = df.collect()
     assert 0 < len(rows) <= 10
     assert df.columns == ["rank", "APT_ICAO", "total", "cumulative_pct"]
+
+
+def test_cli_lists_every_query(capsys):
+    from tarmac.__main__ import main
+    main(["--list"])
+    names = capsys.readouterr().out.split()
+    assert names == list(E.queries())
