@@ -161,7 +161,7 @@ def test_standardizer_uses_population_deviation(spark, planted, ridge):
         assert r["s"] == pytest.approx(1.0, rel=1e-9)
 
 
-def test_solver_switches_past_the_normal_equation_limit():
+def test_solver_switches_past_the_normal_equation_limit(spark):
     from tarmac.ml import pipelines as P
     assert P.ols_pipeline(n_features=100).getStages()[-1].getSolver() == "normal"
     assert P.ols_pipeline(n_features=5000).getStages()[-1].getSolver() == "l-bfgs"
