@@ -167,3 +167,20 @@ def test_solver_switches_past_the_normal_equation_limit(spark):
     assert P.ols_pipeline(n_features=5000).getStages()[-1].getSolver() == "l-bfgs"
     assert P.ridge_pipeline(0.1, n_features=4096).getStages()[-1].getSolver() == "normal"
     assert P.ridge_pipeline(0.1, n_features=4097).getStages()[-1].getSolver() == "l-bfgs"
+
+
+def test_ols_matches_least_squares_on_the_fixture(spark):
+    """OLS on the earlier feature set equals numpy's least squares on the
+    same (collinear) design: predictions are unique even if weights are not."""
+    from conftest import SF001
+    from tarmac.plans.prepare import PreparedTraffic
+    from tarmac.sources.schema import EARLIER_CATEGORICAL_FEATURES, EARLIER_NUMERICAL_FEATURES
+    p = PreparedTraffic.cached(spark, SF001)
+    fitted = TR.fit_ols(p)
+    train = TR.model_rows(p.train(), EARLIER_NUMERICAL_FEATURES, EARLIER_CATEGORICAL_FEATURES)
+    scored = fitted.model.transform(train).select("features", LOG_TARGET, "prediction").collect()
+    X = np.array([r["features"].toArray() for r in scored])
+    X1 = np.hstack([X, np.ones((X.shape[0], 1))])
+    y = np.array([r[LOG_TARGET] for r in scored])
+    w = np.linalg.lstsq(X1, y, rcond=None)[0]
+    np.testing.assert_allclose([r["prediction"] for r in scored], X1 @ w, rtol=1e-6, atol=1e-6)
