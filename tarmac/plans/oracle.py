@@ -175,11 +175,11 @@ CORRELATION_FEATURES = ["YEAR", "day_of_month", "day_of_year", "week_of_year", "
 def _metric_rows() -> str:
     parts = []
     for split in ("train", "test"):
-        for scale, n, sy, syy, sse, sae in (
-                ("log_scale", "ln_n", "ln_sy", "ln_syy", "ln_sse", "ln_sae"),
-                ("original_scale", "o_n", "o_sy", "o_syy", "o_sse", "o_sae")):
+        for scale, n, var, sse, sae in (
+                ("log_scale", "ln_n", "ln_var", "ln_sse", "ln_sae"),
+                ("original_scale", "o_n", "o_var", "o_sse", "o_sae")):
             parts.append(f"SELECT '{split}' AS split, '{scale}' AS scale, 'R2' AS metric, "
-                         f"round(1 - {sse} / ({syy} - {sy} * {sy} / {n}), 6) AS value FROM s WHERE split = '{split}'")
+                         f"round(1 - {sse} / ({var} * {n}), 6) AS value FROM s WHERE split = '{split}'")
             parts.append(f"SELECT '{split}', '{scale}', 'MAE', round({sae} / {n}, 6) FROM s WHERE split = '{split}'")
             parts.append(f"SELECT '{split}', '{scale}', 'RMSE', round(sqrt({sse} / {n}), 6) FROM s WHERE split = '{split}'")
     return "\nUNION ALL\n".join(parts)
@@ -388,9 +388,9 @@ sc AS (SELECT CASE WHEN FLT_DATE < DATE '{SPLIT}' THEN 'train' ELSE 'test' END A
               CAST(FLT_TOT_1 AS DOUBLE) AS y,
               greatest(0.0, exp(ln(1 + avg_pre_pandemic_monthly_traffic)) - 1) AS p
        FROM feat WHERE FLT_DATE IS NOT NULL AND FLT_TOT_1 IS NOT NULL),
-s AS (SELECT split, CAST(COUNT(*) AS DOUBLE) AS ln_n, SUM(yl) AS ln_sy, SUM(yl * yl) AS ln_syy,
+s AS (SELECT split, CAST(COUNT(*) AS DOUBLE) AS ln_n, var_pop(yl) AS ln_var,
              SUM((yl - pl) * (yl - pl)) AS ln_sse, SUM(abs(yl - pl)) AS ln_sae,
-             CAST(COUNT(*) AS DOUBLE) AS o_n, SUM(y) AS o_sy, SUM(y * y) AS o_syy,
+             CAST(COUNT(*) AS DOUBLE) AS o_n, var_pop(y) AS o_var,
              SUM((y - p) * (y - p)) AS o_sse, SUM(abs(y - p)) AS o_sae
       FROM sc GROUP BY 1)
 {_metric_rows()}"""
