@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.literal import literal_table
 
 # Airport size labels, smallest first.
 VOLUME_LABELS = ["Small", "Medium", "Large", "Very Large"]
@@ -34,6 +37,6 @@ def volume_category(x: Column, edges: Sequence[float],
 
 def volume_levels(spark: SparkSession, labels: Sequence[str] = VOLUME_LABELS) -> DataFrame:
     """(volume_rank, airport_volume_category) — four rows, safe to broadcast."""
-    return spark.createDataFrame(
-        [(i + 1, label) for i, label in enumerate(labels)],
-        "volume_rank int, airport_volume_category string")
+    return literal_table(spark, [("volume_rank", T.IntegerType()),
+                                 ("airport_volume_category", T.StringType())],
+                         [(i + 1, label) for i, label in enumerate(labels)])

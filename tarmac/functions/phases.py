@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.literal import literal_table
 
 # Phase labels in their natural order (rank 1..9), and the
 # label for rows without a year.
@@ -39,6 +42,5 @@ def phase(year: Column, month: Column) -> Column:
 
 def phase_levels(spark: SparkSession) -> DataFrame:
     """(phase_rank, pandemic_phase) — nine rows, safe to broadcast."""
-    return spark.createDataFrame(
-        [(i + 1, label) for i, label in enumerate(PHASE_ORDER)],
-        "phase_rank int, pandemic_phase string")
+    return literal_table(spark, [("phase_rank", T.IntegerType()), ("pandemic_phase", T.StringType())],
+                         [(i + 1, label) for i, label in enumerate(PHASE_ORDER)])
