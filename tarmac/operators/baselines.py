@@ -73,6 +73,25 @@ def _scope_cols(scope: str) -> tuple[str, str, str]:
     raise ValueError(f"scope must be 'pre' or 'all', got {scope!r}")
 
 
+def stats_summary(stats: DataFrame) -> dict:
+    """One aggregation over the statistics table: its row count, the row
+    counts of both baseline tables (their broadcast proof) and the global
+    mean before 2020."""
+    pre = F.col("pre_rows") > 0
+    apt, month = F.col("APT_ICAO"), F.col("MONTH_NUM")
+    row = stats.agg(
+        F.count(F.lit(1)).alias("stats_rows"),
+        F.count_distinct(F.when(apt.isNotNull() & month.isNotNull() & pre,
+                                F.struct(apt, month))).alias("monthly_rows"),
+        F.count_distinct(F.when(apt.isNotNull() & pre, apt)).alias("overall_rows"),
+        F.sum("pre_sum").alias("s"), F.sum("pre_count").alias("c")).first()
+    if not row or not row["c"]:
+        raise ValueError("no traffic rows before 2020: the historical baselines "
+                         "and the volume bins are undefined")
+    return {"stats_rows": row["stats_rows"], "monthly_rows": row["monthly_rows"],
+            "overall_rows": row["overall_rows"], "global_mean": row["s"] / row["c"]}
+
+
 def global_mean(stats: DataFrame) -> float:
     """Mean total flights over all rows before 2020 (one scalar to the driver)."""
     row = stats.agg(F.sum("pre_sum").alias("s"), F.sum("pre_count").alias("c")).first()

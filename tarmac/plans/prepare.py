@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar_columns, cyclic_columns, log_target, phase, volume_category
 from ..functions.binning import VOLUME_LABELS
 from ..operators.baselines import (airport_month_stats, baseline_monthly, baseline_overall,
-                                   enrich_with_baselines, global_mean)
+                                   enrich_with_baselines, stats_summary)
 from ..operators.bins import volume_bins, weighted_airport_values
 from ..operators.folding import fold_column, top_keys_by_rows
 from ..operators.joins import broadcast_limit
@@ -172,7 +172,6 @@ def prepare(traffic: DataFrame, materialize: str | None = None,
     if materialize:
         traffic = traffic.persist(level)
     stats = airport_month_stats(traffic)
-    monthly_rows = overall_rows = stats_rows = None
     if materialize == "table":
         stats = write_table(stats, "airport-month-stats", written=written)
     elif materialize == "cache":
@@ -181,18 +180,17 @@ def prepare(traffic: DataFrame, materialize: str | None = None,
     overall = baseline_overall(stats)
     if materialize:
         monthly, overall = monthly.persist(level), overall.persist(level)
-        monthly_rows, overall_rows = monthly.count(), overall.count()
-        stats_rows = stats.count()
-    fill = global_mean(stats)
+    summary = stats_summary(stats)
+    monthly_rows, overall_rows = summary["monthly_rows"], summary["overall_rows"]
+    stats_rows, fill = summary["stats_rows"], summary["global_mean"]
     edges = volume_bins(weighted_airport_values(stats, overall, fill))
 
     limit = broadcast_limit(traffic)
     df = add_calendar(traffic)
     df = df.withColumn("pandemic_phase", phase(F.col("YEAR"), F.col("MONTH_NUM")))
-    df = enrich_with_baselines(
-        df, monthly, overall, fill,
-        monthly_small=None if monthly_rows is None else monthly_rows <= limit,
-        overall_small=None if overall_rows is None else overall_rows <= limit)
+    df = enrich_with_baselines(df, monthly, overall, fill,
+                               monthly_small=monthly_rows <= limit,
+                               overall_small=overall_rows <= limit)
     df = df.withColumn("airport_volume_category",
                        volume_category(F.col("avg_traffic_pre_pandemic_overall"), edges))
     df = df.withColumn(LOG_TARGET, log_target(F.col("FLT_TOT_1")))
