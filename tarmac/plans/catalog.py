@@ -27,7 +27,7 @@ from ..operators.metrics import metric_table
 from ..sources.dims import fixture_coordinates, fixture_country_labels, fixture_requests
 from ..sources.schema import LOG_TARGET, TRAFFIC_COLUMNS
 from ..sources.traffic import fixture_traffic
-from .oracle import CORRELATION_FEATURES, END, SPLIT, START
+from .params import CORRELATION_FEATURES, END, SPLIT, START
 from .prepare import PreparedTraffic
 
 Query = Callable[[SparkSession, str], DataFrame]

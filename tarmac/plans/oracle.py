@@ -9,10 +9,7 @@ from __future__ import annotations
 
 from ..functions.phases import PHASE_ORDER
 from ..sources.dims import REQUEST_DATES, UNKNOWN_AIRPORT_PREFIX
-
-START, END = "2022-01-01", "2022-01-31"
-REF_START, REF_END = "2019-01-01", "2019-01-31"
-SPLIT = "2021-02-01"
+from .params import CORRELATION_FEATURES, END, REF_END, REF_START, SPLIT, START
 
 
 def _phase_case(year: str = "YEAR", month: str = "MONTH_NUM") -> str:
@@ -168,10 +165,6 @@ def _compact(x: str) -> str:
             ELSE CAST({x} AS VARCHAR) END"""
 
 
-CORRELATION_FEATURES = ["YEAR", "day_of_month", "day_of_year", "week_of_year", "is_weekend",
-                        "avg_pre_pandemic_monthly_traffic", "avg_traffic_pre_pandemic_overall"]
-
-
 def _metric_rows() -> str:
     parts = []
     for split in ("train", "test"):
