@@ -184,3 +184,17 @@ def test_ols_matches_least_squares_on_the_fixture(spark):
     y = np.array([r[LOG_TARGET] for r in scored])
     w = np.linalg.lstsq(X1, y, rcond=None)[0]
     np.testing.assert_allclose([r["prediction"] for r in scored], X1 @ w, rtol=1e-6, atol=1e-6)
+
+
+def test_malformed_requests_go_to_the_error_table(spark, planted, ridge):
+    from tarmac.ml.scoring import validate_requests
+    req = spark.createDataFrame(
+        [("AAA", "2023-06-01"), (None, "2023-06-01"), ("  ", "2023-06-01"),
+         ("BBB", None), ("CCC", "not a date"), (" DDD ", "2024-02-29")],
+        "airport string, flt_date string")
+    valid, errors = validate_requests(req)
+    assert sorted(r["airport"] for r in valid.collect()) == ["AAA", "DDD"]
+    reasons = sorted(r["error"] for r in errors.collect())
+    assert reasons == ["invalid date", "missing airport", "missing airport", "missing date"]
+    preds = score_requests(ridge.model, scoring_features(valid, planted)).collect()
+    assert len(preds) == 2
