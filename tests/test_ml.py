@@ -198,3 +198,16 @@ def test_malformed_requests_go_to_the_error_table(spark, planted, ridge):
     assert reasons == ["invalid date", "missing airport", "missing airport", "missing date"]
     preds = score_requests(ridge.model, scoring_features(valid, planted)).collect()
     assert len(preds) == 2
+
+
+def test_fit_and_score_any_pipeline(planted):
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from tarmac.ml import pipelines as P
+    train, test = TR.splits(planted, NUMERICAL_FEATURES, CATEGORICAL_FEATURES)
+    indexer, counts = P.fit_indexer(train, CATEGORICAL_FEATURES)
+    from pyspark.ml import Pipeline
+    tree = DecisionTreeRegressor(labelCol=LOG_TARGET, maxDepth=6, maxBins=64)
+    pipe = Pipeline(stages=P.tree_stages(NUMERICAL_FEATURES, CATEGORICAL_FEATURES, indexer) + [tree])
+    fitted = TR.fit_and_score(pipe, "tree", train, test)
+    m = {(r["split"], r["scale"], r["metric"]): r["value"] for r in fitted.metrics.collect()}
+    assert m[("train", "log_scale", "R2")] > 0.9 and len(m) == 12
