@@ -80,3 +80,11 @@ def test_topk_and_pruning_in_plans(spark):
         assert "PushedFilters: [IsNotNull(FLT_DATE)" in text
     scan = plan(p.features.select("FLT_DATE", "FLT_TOT_1"))
     assert "ReadSchema: struct<FLT_DATE:date,FLT_TOT_1:bigint>" in scan or "InMemoryTableScan" in scan
+
+
+def test_change_against_2019_is_one_scan(spark):
+    p = PreparedTraffic.cached(spark, SF001)
+    df = S.kpi_change(p.features, "2022-01-01", "2022-01-31")
+    df.collect()
+    final = plan(df)
+    assert final.count("FileScan parquet") + final.count("InMemoryTableScan") == 1
