@@ -86,5 +86,5 @@ def test_change_against_2019_is_one_scan(spark):
     p = PreparedTraffic.cached(spark, SF001)
     df = S.kpi_change(p.features, "2022-01-01", "2022-01-31")
     df.collect()
-    final = plan(df)
+    final = plan(df).split("== Initial Plan ==")[0]
     assert final.count("FileScan parquet") + final.count("InMemoryTableScan") == 1
