@@ -30,7 +30,10 @@ class Artifacts:
     monthly_rows: int | None = None
     overall_rows: int | None = None
 
-    def lookups_small(self, limit: int = 2_000_000) -> tuple[bool | None, bool | None]:
+    def lookups_small(self) -> tuple[bool | None, bool | None]:
+        """Broadcast proofs for the two baseline tables (counted at load)."""
+        from ..operators.joins import broadcast_limit
+        limit = broadcast_limit(self.monthly)
         return (None if self.monthly_rows is None else self.monthly_rows <= limit,
                 None if self.overall_rows is None else self.overall_rows <= limit)
 
