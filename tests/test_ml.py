@@ -93,6 +93,9 @@ def test_best_round_patience():
     assert TR.best_round(errs, patience=100) == 6
     assert TR.best_round(errs, patience=3) == 2     # stops at round 6 (index 5) before 2.9
     assert TR.best_round([1.0], patience=3) == 0
+    nan = float("nan")
+    assert TR.best_round([nan, nan, nan]) == 2               # no validation rows: keep all
+    assert TR.best_round([nan, 2.0, 1.0, 3.0]) == 2
 
 
 def test_gbt_curve_and_refit(planted):
