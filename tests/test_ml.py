@@ -214,3 +214,14 @@ def test_fit_and_score_any_pipeline(planted):
     fitted = TR.fit_and_score(pipe, "tree", train, test)
     m = {(r["split"], r["scale"], r["metric"]): r["value"] for r in fitted.metrics.collect()}
     assert m[("train", "log_scale", "R2")] > 0.9 and len(m) == 12
+
+
+def test_gbt_without_validation_rows_keeps_every_round(spark):
+    rows = []
+    for i, base in enumerate([20, 45, 90, 160, 300, 600]):
+        rows += daily(f"A{i}", f"L{i % 2}", "2018-01-01", 900, lambda d, b=base: b + d.day % 7)
+    p = prepare(traffic(spark, rows), materialize="cache")   # ends mid-2020: no holdout, no test
+    fitted, curve = TR.fit_gbt(p, max_iter=3, max_depth=2)
+    assert fitted.model.stages[-1].getNumTrees == 3
+    assert [r["is_best"] for r in curve.orderBy("iteration").collect()] == [False, False, True]
+    assert fitted.metrics.where("split = 'test'").count() == 0
