@@ -41,12 +41,13 @@ def parse_flight_date(col: Column, dtype: T.DataType) -> Column:
     """Date text or timestamp to a UTC calendar date.
 
     Naive text is taken as UTC, text with an offset is converted to UTC (the
-    session time zone is UTC, see ``tarmac.session``)."""
+    session time zone is UTC, see ``tarmac.session``); text that does not
+    parse gives NULL instead of failing the scan."""
     if isinstance(dtype, T.DateType):
         return col
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.to_date(col)
-    return F.to_date(F.to_timestamp(col))
+    return F.to_date(F.try_to_timestamp(col))
 
 
 def scan_traffic(raw: DataFrame) -> DataFrame:

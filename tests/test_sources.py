@@ -90,3 +90,14 @@ def test_csv_round_trip_gives_the_same_features(spark, tmpdir_path):
     a = from_csv.features.select(*cols).exceptAll(from_parquet.features.select(*cols)).count()
     b = from_parquet.features.select(*cols).exceptAll(from_csv.features.select(*cols)).count()
     assert a == 0 and b == 0
+
+
+def test_unparseable_date_is_null_not_an_error(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "bad_date.csv")
+    with open(path, "w") as f:
+        f.write(HEADER + "\n")
+        f.write("2019,3,MAR,sometime in March,EDDF,Frankfurt,Germany,1,2,3,,,,x\n")
+        f.write("2019,3,MAR,2019-03-15,EDDF,Frankfurt,Germany,1,2,3,,,,x\n")
+    dates = sorted((r["FLT_DATE"] for r in scan_traffic(read_traffic_csv(spark, path)).collect()),
+                   key=lambda d: (d is not None, d))
+    assert dates == [None, dt.date(2019, 3, 15)]
