@@ -88,3 +88,13 @@ def test_change_against_2019_is_one_scan(spark):
     df.collect()
     final = plan(df).split("== Initial Plan ==")[0]
     assert final.count("FileScan parquet") + final.count("InMemoryTableScan") == 1
+
+
+def test_no_query_plans_a_cross_or_nested_loop_join(spark):
+    from tarmac.plans.catalog import SQL_QUERIES
+    offenders = []
+    for name, fn in SQL_QUERIES.items():
+        text = plan(fn(spark, SF001))
+        if "CartesianProduct" in text or "NestedLoopJoin" in text:
+            offenders.append(name)
+    assert offenders == []
