@@ -157,14 +157,16 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None,
 
 
 def prepare(traffic: DataFrame, materialize: str | None = None,
-            top_airports: int = TOP_AIRPORTS, top_countries: int = TOP_COUNTRIES) -> PreparedTraffic:
+            top_airports: int = TOP_AIRPORTS, top_countries: int = TOP_COUNTRIES,
+            edges: list[float] | None = None) -> PreparedTraffic:
     """Feature engineering of the training script.
 
     The fact rows are read twice: once for the (airport, country, month)
     statistics, once to build the feature rows; everything else (baselines,
     global mean, five bin edges, top-k fold keys) is derived from the small
     statistics table.  ``materialize`` is None (lazy), ``'cache'`` or
-    ``'table'``."""
+    ``'table'``.  ``edges`` reuses stored bin edges (e.g. ``load_artifacts``)
+    instead of recomputing them, as the dashboard reused the trained bins."""
     if materialize not in (None, "cache", "table"):
         raise ValueError(f"materialize must be None, 'cache' or 'table', got {materialize!r}")
     level = StorageLevel.MEMORY_AND_DISK
@@ -183,7 +185,9 @@ def prepare(traffic: DataFrame, materialize: str | None = None,
     summary = stats_summary(stats)
     monthly_rows, overall_rows = summary["monthly_rows"], summary["overall_rows"]
     stats_rows, fill = summary["stats_rows"], summary["global_mean"]
-    edges = volume_bins(weighted_airport_values(stats, overall, fill))
+    if edges is None:
+        edges = volume_bins(weighted_airport_values(stats, overall, fill))
+    edges = [float(e) for e in edges]
 
     limit = broadcast_limit(traffic)
     df = add_calendar(traffic)

@@ -48,3 +48,14 @@ def test_reference_dimensions(spark):
     assert d == {"EDDF": "EDDF (Allemagne)", "ZZZZ": "ZZZZ (Atlantis)"}  # fallback to the name
     uk = labels.where((F.col("lang") == "en") & (F.col("name") == "United Kingdom")).first()
     assert uk["label"] == "UK"
+
+
+def test_dashboard_reuses_stored_bins(spark, tmpdir_path):
+    from tarmac.plans.prepare import prepare
+    out = f"{tmpdir_path}/models"
+    run_training(spark, fixture_traffic(spark, SF001), out, gbt_rounds=2)
+    art = load_artifacts(spark, out, with_models=False)
+    shifted = [e + 0.5 for e in art.edges]            # stored edges win over recomputed ones
+    p = prepare(fixture_traffic(spark, SF001), edges=shifted)
+    assert p.edges == shifted
+    assert prepare(fixture_traffic(spark, SF001), edges=art.edges).edges == art.edges
