@@ -66,3 +66,15 @@ def test_cli_lists_every_query(capsys):
     main(["--list"])
     names = capsys.readouterr().out.split()
     assert names == list(E.queries())
+
+
+def test_cli_range_queries(spark):
+    from tarmac.__main__ import _range_queries
+    from tarmac.plans.prepare import PreparedTraffic
+    ranged = _range_queries()
+    assert set(ranged) <= set(E.queries())
+    f = PreparedTraffic.cached(spark, SF001).features
+    fr = {r["day_type"] for r in ranged["daytype_share"](f, "2019-03-01", "2019-03-31", "fr").collect()}
+    assert fr == {"Weekend", "Jour de semaine"}
+    change = ranged["kpi_change"](f, "2021-12-20", "2022-01-10", "en").first()
+    assert change["change_pct"] is None and change["total_ops"] > 0
