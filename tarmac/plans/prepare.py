@@ -87,6 +87,10 @@ class PreparedTraffic:
             return None
         return self.stats_rows <= broadcast_limit(self.features)
 
+    def countries_small(self) -> bool | None:
+        """The airport -> country table has at most ``stats_rows`` rows."""
+        return self.stats_small()
+
     @property
     def countries(self) -> DataFrame:
         """(APT_ICAO, STATE_NAME): the first (smallest) country per airport."""

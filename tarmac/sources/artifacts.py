@@ -30,6 +30,12 @@ class Artifacts:
     metrics: DataFrame | None = None
     monthly_rows: int | None = None
     overall_rows: int | None = None
+    countries_rows: int | None = None
+
+    def countries_small(self) -> bool | None:
+        if self.countries_rows is None:
+            return None
+        return self.countries_rows <= broadcast_limit(self.countries)
 
     def lookups_small(self) -> tuple[bool | None, bool | None]:
         """Broadcast proofs for the two baseline tables (counted at load)."""
@@ -89,7 +95,7 @@ def load_artifacts(spark: SparkSession, path: str, with_models: bool = True) ->
             "(tarmac.plans.training_job)")
     monthly = spark.read.parquet(f"{path}/baseline_monthly").persist()
     overall = spark.read.parquet(f"{path}/baseline_overall").persist()
-    countries = spark.read.parquet(f"{path}/airport_countries")
+    countries = spark.read.parquet(f"{path}/airport_countries").persist()
     bins = spark.read.parquet(f"{path}/volume_bins").orderBy("edge_index").collect()
     scalars = {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/scalars").collect()}
     models, metrics = {}, None
@@ -104,7 +110,8 @@ def load_artifacts(spark: SparkSession, path: str, with_models: bool = True) ->
         edges=[float(r["edge"]) for r in bins],
         labels=[r["label"] for r in bins if r["label"] is not None],
         models=models, metrics=metrics,
-        monthly_rows=monthly.count(), overall_rows=overall.count())
+        monthly_rows=monthly.count(), overall_rows=overall.count(),
+        countries_rows=countries.count())
 
 
 def model_metrics(artifacts: Artifacts, model: str) -> DataFrame:
