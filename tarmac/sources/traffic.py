@@ -51,18 +51,19 @@ def parse_flight_date(col: Column, dtype: T.DataType) -> Column:
 
 
 def scan_traffic(raw: DataFrame) -> DataFrame:
-    """Drop the redundant columns, parse the date and fix the column types."""
+    """Drop the redundant columns, parse the date and fix the column types
+    (a value that does not fit, such as a NaN count, becomes NULL)."""
     df = raw.drop(*[c for c in DROPPED_COLUMNS if c in raw.columns])
     date_type = df.schema["FLT_DATE"].dataType
     return df.select(
-        F.col("YEAR").cast("int").alias("YEAR"),
-        F.col("MONTH_NUM").cast("int").alias("MONTH_NUM"),
+        F.col("YEAR").try_cast("int").alias("YEAR"),
+        F.col("MONTH_NUM").try_cast("int").alias("MONTH_NUM"),
         parse_flight_date(F.col("FLT_DATE"), date_type).alias("FLT_DATE"),
         F.col("APT_ICAO").cast("string").alias("APT_ICAO"),
         F.col("STATE_NAME").cast("string").alias("STATE_NAME"),
-        F.col("FLT_DEP_1").cast("bigint").alias("FLT_DEP_1"),
-        F.col("FLT_ARR_1").cast("bigint").alias("FLT_ARR_1"),
-        F.col("FLT_TOT_1").cast("bigint").alias("FLT_TOT_1"),
+        F.col("FLT_DEP_1").try_cast("bigint").alias("FLT_DEP_1"),
+        F.col("FLT_ARR_1").try_cast("bigint").alias("FLT_ARR_1"),
+        F.col("FLT_TOT_1").try_cast("bigint").alias("FLT_TOT_1"),
     ).select(*TRAFFIC_COLUMNS)
 
 

@@ -101,3 +101,12 @@ def test_unparseable_date_is_null_not_an_error(spark, tmpdir_path):
     dates = sorted((r["FLT_DATE"] for r in scan_traffic(read_traffic_csv(spark, path)).collect()),
                    key=lambda d: (d is not None, d))
     assert dates == [None, dt.date(2019, 3, 15)]
+
+
+def test_typed_source_with_nan_counts(spark):
+    df = spark.createDataFrame(
+        [(2019, 1, dt.date(2019, 1, 2), "A", "X", float("nan"), 2.0, 7.0)],
+        "YEAR int, MONTH_NUM int, FLT_DATE date, APT_ICAO string, STATE_NAME string, "
+        "FLT_DEP_1 double, FLT_ARR_1 double, FLT_TOT_1 double")
+    r = scan_traffic(df).first()
+    assert r["FLT_DEP_1"] is None and r["FLT_ARR_1"] == 2 and r["FLT_TOT_1"] == 7
