@@ -12,19 +12,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binning import VOLUME_LABELS
-from .baselines import OVERALL_COL
 
 QUARTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
-def weighted_airport_values(stats: DataFrame, overall: DataFrame, fill: float) -> DataFrame:
+def weighted_airport_values(stats: DataFrame, fill: float) -> DataFrame:
     """(APT_ICAO, value, weight): the filled overall baseline of each airport
-    (NULL airport included, it takes the fallback) and its number of rows."""
-    rows = stats.groupBy("APT_ICAO").agg(F.sum("rows").alias("weight"))
-    return (rows.join(overall, ["APT_ICAO"], "left")
-            .select("APT_ICAO",
-                    F.coalesce(F.col(OVERALL_COL), F.lit(float(fill))).alias("value"),
-                    "weight"))
+    (the NULL airport included, it takes the fallback) and its number of rows.
+
+    One aggregation of the statistics table gives both; the mean is the same
+    integer sum over the same count as ``baseline_overall``."""
+    pre = F.col("pre_rows") > 0
+    per_airport = stats.groupBy("APT_ICAO").agg(
+        F.sum("rows").alias("weight"),
+        F.sum(F.when(pre, F.col("pre_sum"))).alias("s"),
+        F.sum(F.when(pre, F.col("pre_count"))).alias("c"))
+    mean = F.when(F.col("APT_ICAO").isNotNull() & (F.col("c") > 0), F.col("s") / F.col("c"))
+    return per_airport.select("APT_ICAO", F.coalesce(mean, F.lit(float(fill))).alias("value"),
+                              "weight")
 
 
 def volume_bin_table(weighted: DataFrame, probabilities=QUARTILES) -> DataFrame:

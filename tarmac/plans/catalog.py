@@ -187,7 +187,7 @@ def q_lookup_all_years(spark, sf_dir):
 
 def q_volume_bins(spark, sf_dir):
     p = _prep(spark, sf_dir)
-    return rounded(volume_bin_table(weighted_airport_values(p.stats, p.overall, p.global_mean)))
+    return rounded(volume_bin_table(weighted_airport_values(p.stats, p.global_mean)))
 
 
 def q_volume_category(spark, sf_dir):

@@ -190,7 +190,7 @@ def prepare(traffic: DataFrame, materialize: str | None = None,
     monthly_rows, overall_rows = summary["monthly_rows"], summary["overall_rows"]
     stats_rows, fill = summary["stats_rows"], summary["global_mean"]
     if edges is None:
-        edges = volume_bins(weighted_airport_values(stats, overall, fill))
+        edges = volume_bins(weighted_airport_values(stats, fill))
     edges = [float(e) for e in edges]
 
     limit = broadcast_limit(traffic)

@@ -61,7 +61,7 @@ def test_baselines_match_pandas(spark, edge):
         assert got_o[k] == pytest.approx(v, rel=1e-12)
     gm = global_mean(stats)
     assert gm == pytest.approx(g, rel=1e-12)         # includes the null-airport row
-    edges = volume_bins(weighted_airport_values(stats, baseline_overall(stats), gm))
+    edges = volume_bins(weighted_airport_values(stats, gm))
     assert edges == pytest.approx(bins, rel=1e-12)   # row-weighted quartiles
 
 
