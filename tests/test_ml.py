@@ -225,3 +225,14 @@ def test_gbt_without_validation_rows_keeps_every_round(spark):
     assert fitted.model.stages[-1].getNumTrees == 3
     assert [r["is_best"] for r in curve.orderBy("iteration").collect()] == [False, False, True]
     assert fitted.metrics.where("split = 'test'").count() == 0
+
+
+def test_registry_entries_follow_the_object_not_its_id(planted):
+    import weakref
+    a = TR.ModelRegistry.get(planted, "Ridge Regression")
+    assert TR.ModelRegistry.get(planted, "Ridge Regression") is a   # cached for the same object
+    key = (id(planted), "Ridge Regression")
+    ref, fitted = TR.ModelRegistry._fitted[key]
+    TR.ModelRegistry._fitted[key] = (weakref.ref(TR), fitted)       # simulate a reused id
+    b = TR.ModelRegistry.get(planted, "Ridge Regression")
+    assert b is not fitted                                            # refitted, not reused
