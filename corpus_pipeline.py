@@ -1,0 +1,7 @@
+"""The corpus pipeline: language ID, exact dedup, SimHash near-dedup, mixing, SentencePiece."""
+STAGES = []
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
