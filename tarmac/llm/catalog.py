@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, simhash
+from . import exact_dedup, langid, mixing, pieces, simhash
 from .common import prepare_session, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -79,6 +83,7 @@ _QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_piece_dropout": op6_piece_dropout,
     "op10_source_mix": op10_source_mix,
 }
 
