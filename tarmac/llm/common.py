@@ -11,8 +11,11 @@ Rules kept by every operator here:
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,12 +24,27 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 # Rows and bytes of one Arrow batch sent to Python: bounds a worker's memory with long texts.
-ARROW_ROWS = 1000
-ARROW_BYTES = 16 * 1024 * 1024
+ARROW_ROWS = 500
+ARROW_BYTES = 8 * 1024 * 1024
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python once per application, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tarmac_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="tarmac-pyfiles-")) / "tarmac_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(archive))
+    sc._tarmac_shipped = True
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
-    """Arrow batches small enough for long texts."""
+    """The package on the executors; Arrow batches small enough for long texts."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
