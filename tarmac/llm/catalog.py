@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, pieces, simhash
+from . import exact_dedup, langid, mixing, pieces, quality, simhash
 from .common import prepare_session, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op6_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -83,6 +87,7 @@ _QUERIES: dict[str, Query] = {
     "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op6_piece_dropout": op6_piece_dropout,
     "op10_source_mix": op10_source_mix,
 }

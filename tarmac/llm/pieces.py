@@ -34,12 +34,12 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 42
 VARIANTS = 3                 # different segmentations of one word over the corpus, at most
-CACHE_WORDS = 200_000        # cached words of one variant; the cache starts anew when full
+CACHE_WORDS = 40_000         # cached words of one variant (about 10 MB); the cache starts anew when full
 SPACE = "▁"
 MASK = (1 << 64) - 1
 WIDTHS = (6, 9, 12, 16, 24)  # column classes; longer units go through their agenda one by one
 NONE = 1 << 62               # no candidate
-CHUNK_UNITS = 10_000         # units merged together
+CHUNK_UNITS = 5000           # units merged together
 UNIT = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
