@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, pieces, quality, simhash
+from . import exact_dedup, langid, mixing, pieces, quality, simhash, toxicity, warc
 from .common import prepare_session, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_index(table(spark, sf_dir, "pages", "page_id", "url", "html")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -33,10 +38,23 @@ def op6_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+                  sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.*, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                            'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -84,15 +102,17 @@ LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
 """
 
 _QUERIES: dict[str, Query] = {
+    "op1_warc_index": op1_warc_index,
     "op2_language_id": op2_language_id,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_piece_dropout": op6_piece_dropout,
+    "op8_toxic_segments": op8_toxic_segments,
     "op10_source_mix": op10_source_mix,
 }
 
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op10_source_mix": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_warc_index": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op10_source_mix": OP10_SQL}
 
 
 def _prepared(fn: Query) -> Query:
