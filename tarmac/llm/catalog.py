@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, pieces, quality, simhash, toxicity, warc
+from . import exact_dedup, langid, mixing, pieces, quality, simhash, surrogates, toxicity, warc
 from .common import prepare_session, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -109,6 +113,7 @@ _QUERIES: dict[str, Query] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_piece_dropout": op6_piece_dropout,
     "op8_toxic_segments": op8_toxic_segments,
+    "op9_pii_surrogates": op9_pii_surrogates,
     "op10_source_mix": op10_source_mix,
 }
 
