@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, pieces, quality, simhash, surrogates, toxicity, warc
+from . import exact_dedup, langid, mixing, passages, pieces, quality, simhash, surrogates, toxicity, warc
 from .common import prepare_session, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op6_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
@@ -112,6 +116,7 @@ _QUERIES: dict[str, Query] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_piece_dropout": op6_piece_dropout,
+    "op7_fuzzy_passages": op7_fuzzy_passages,
     "op8_toxic_segments": op8_toxic_segments,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_source_mix": op10_source_mix,

@@ -95,8 +95,11 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     for run in NUMERIC.finditer(text):
         for m in DIGITAL.finditer(text, run.start(), run.end()):
             found.append((m.start(), m.end(), m.lastgroup, m[0].replace("-", "")))
-    found += [(m.start(), m.end(), "card", m[0].replace(" ", "")) for m in SPACED_CARD.finditer(text)
-              if m.start() == 0 or not text[m.start() - 1].isdigit()]
+    m = SPACED_CARD.search(text)
+    while m:        # candidates may overlap: groups of four digits before a card are not its own
+        if m.start() == 0 or not text[m.start() - 1].isdigit():
+            found.append((m.start(), m.end(), "card", m[0].replace(" ", "")))
+        m = SPACED_CARD.search(text, m.start() + 5)
     for kind, pattern in (("iban", IBAN), ("access", ACCESS)):
         found += [(m.start(), m.end(), kind, m[0].replace(" ", "")) for m in pattern.finditer(text) if _starts_word(text, m.start())]
     found += [(m.start(1), m.end(1), "token", m[1]) for m in QUOTED.finditer(text)
