@@ -7,7 +7,6 @@ Layers:
 * ``tarmac.operators`` – DataFrame operators (baselines, bins, summaries, exploration, metrics)
 * ``tarmac.ml``        – Spark ML pipelines, training, early stopping, batch scoring
 * ``tarmac.plans``     – prepared feature table and the query catalog
-* ``tarmac.streaming`` – intentionally empty (the workload has no streams)
 """
 
 __version__ = "0.1.0"

@@ -106,5 +106,5 @@ def change_class(pct: Column) -> Column:
 
 
 def airport_label(icao: Column, country: Column) -> Column:
-    """"EDDF (Germany)"."""
-    return F.concat(icao, F.lit(" ("), country, F.lit(")"))
+    """"EDDF (Germany)", or the bare code of an airport without country."""
+    return F.coalesce(F.concat(icao, F.lit(" ("), country, F.lit(")")), icao)

@@ -63,6 +63,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         return current
     configured = checkpoint_dir(spark)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that "
+                             "the driver and all executors share")
         configured = fallback or tempfile.mkdtemp(prefix="tarmac-ckpt-")
         os.makedirs(configured, exist_ok=True)
     spark.sparkContext.setCheckpointDir(configured)

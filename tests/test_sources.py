@@ -110,3 +110,15 @@ def test_typed_source_with_nan_counts(spark):
         "FLT_DEP_1 double, FLT_ARR_1 double, FLT_TOT_1 double")
     r = scan_traffic(df).first()
     assert r["FLT_DEP_1"] is None and r["FLT_ARR_1"] == 2 and r["FLT_TOT_1"] == 7
+
+
+def test_no_line_is_lost(spark):
+    from tarmac.sources.traffic import fixture_traffic
+    flights = fixture_traffic(spark, SF001).agg(F.sum("FLT_TOT_1")).first()[0]
+    assert flights == spark.read.parquet(f"{SF001}/lineitem.parquet").agg(F.sum("l_quantity")).first()[0]
+
+
+def test_whole_numbers_and_missing_years(spark):
+    from tarmac.sources.traffic import whole_number
+    rows = spark.createDataFrame([("1234.0",), ("12",), ("1.5",), ("x",), (None,)], "v string")
+    assert [r[0] for r in rows.select(whole_number(F.col("v"), "bigint")).collect()] == [1234, 12, None, None, None]
