@@ -16,6 +16,7 @@ empty result; rows of equal id and text are cut alike.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import zlib
@@ -34,7 +35,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 42
 VARIANTS = 3                 # different segmentations of one word over the corpus, at most
-CACHE_WORDS = 40_000         # cached words of one variant (about 10 MB); the cache starts anew when full
+CACHE_WORDS = 80_000         # cached words of one variant (about 20 MB); the cache starts anew when full
 SPACE = "▁"
 MASK = (1 << 64) - 1
 WIDTHS = (6, 9, 12, 16, 24)  # column classes; longer units go through their agenda one by one
@@ -127,8 +128,8 @@ class Encoder:
         self.limit, self.seed, self.variants = int(dropout * (1 << 20)), seed, variants if dropout else 1
         self.tables = _tables(model)
         # by variant: words with the space mark before them, and words without
-        self.marked: list[dict[str, list[int]]] = [{} for _ in range(self.variants)]
-        self.bare: list[dict[str, list[int]]] = [{} for _ in range(self.variants)]
+        self.marked: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
+        self.bare: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
         self.spoken = [bytes([self.bytes_of[i]]) if i in self.bytes_of else p.replace(SPACE, " ").encode("utf-8")
                        for i, p in enumerate(self.pieces)]
 
@@ -222,13 +223,13 @@ class Encoder:
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
         return ((x >> np.uint64(40)) % np.uint64(self.variants)).tolist()
 
-    def _learn(self, cache: dict[str, list[int]], words: set[str], mark: str, variant: int) -> None:
+    def _learn(self, cache: dict[str, tuple[int, ...]], words: set[str], mark: str, variant: int) -> None:
         """Bring ``words`` into the cache, which starts anew when it would grow past its limit."""
         todo = list(words.difference(cache))
         if len(cache) + len(todo) > CACHE_WORDS:
             cache.clear()
             todo = list(words)
-        cache.update(zip(todo, self.units([mark + w for w in todo], variant)))
+        cache.update(zip(todo, map(tuple, self.units([mark + w for w in todo], variant))))
 
     def _joined(self, plan: list) -> list[int]:
         out: list[int] = []
@@ -356,6 +357,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = [i for i in range(len(docs.columns)) if i != at]
 
     def run(batches: Batches) -> Batches:
+        gc.set_threshold(100_000, 50, 100)      # the caches hold no cycles worth looking for
         encoder = Encoder(model, dropout, seed)
         for batch in batches:
             values, keys = batch.column(at).to_pylist(), batch.column(key_at).to_pylist()
