@@ -26,8 +26,8 @@ from ..operators.joins import lookup_join
 from ..operators.metrics import metric_table
 from ..sources.dims import fixture_coordinates, fixture_country_labels, fixture_requests
 from ..sources.schema import LOG_TARGET, TRAFFIC_COLUMNS
-from ..sources.traffic import fixture_traffic
-from .params import CORRELATION_FEATURES, END, SPLIT, START
+from ..sources.traffic import fixture_traffic, parse_flight_date
+from .params import CORRELATION_FEATURES, EMPTY_RANGE, END, SPLIT, START
 from .prepare import PreparedTraffic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,13 @@ def q_split_profile(spark, sf_dir):
                                  (F.col("train_rows") / F.col("n")).alias("train_fraction")))
 
 
+def q_utc_dates(spark, sf_dir):
+    """Event time stamps, written as text with an offset, read back as UTC days."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
+    text = F.concat(F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd HH:mm:ss"), F.lit("+02:00"))
+    return events.select("event_id", parse_flight_date(text, T.StringType()).alias("utc_day"))
+
+
 # -- operations summary -------------------------------------------------------
 
 def q_pareto_airports(spark, sf_dir):
@@ -96,6 +103,11 @@ def q_kpi_totals(spark, sf_dir):
     return S.kpi_totals(_features(spark, sf_dir), START, END)
 
 
+def q_kpi_empty_range(spark, sf_dir):
+    """A range before the first day: no flights and no change, whatever 2019 had."""
+    return rounded(S.kpi_change(_features(spark, sf_dir), *EMPTY_RANGE))
+
+
 def q_kpi_change(spark, sf_dir):
     return rounded(S.kpi_change(_features(spark, sf_dir), START, END))
 

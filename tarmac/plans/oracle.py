@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from ..functions.phases import PHASE_ORDER
 from ..sources.dims import REQUEST_DATES, UNKNOWN_AIRPORT_PREFIX
-from .params import CORRELATION_FEATURES, END, REF_END, REF_START, SPLIT, START
+from .params import CORRELATION_FEATURES, EMPTY_RANGE, END, REF_END, REF_START, SPLIT, START
 
 
 def _phase_case(year: str = "YEAR", month: str = "MONTH_NUM") -> str:
@@ -224,6 +224,14 @@ SELECT CAST(COALESCE(SUM(FLT_TOT_1), 0) AS BIGINT) AS total_ops,
        CAST(COALESCE(SUM(FLT_ARR_1), 0) AS BIGINT) AS total_arrivals,
        CAST(COALESCE(SUM(FLT_DEP_1), 0) AS BIGINT) AS total_departures
 FROM sel"""
+    q["kpi_empty_range"] = BASE + f"""
+SELECT CAST(COALESCE(SUM(FLT_TOT_1) FILTER (WHERE FLT_DATE BETWEEN DATE '{EMPTY_RANGE[0]}' AND DATE '{EMPTY_RANGE[1]}'), 0)
+            AS BIGINT) AS total_ops,
+       CAST(COALESCE(SUM(FLT_TOT_1) FILTER (WHERE FLT_DATE BETWEEN DATE '{REF_START}' AND DATE '{REF_END}'), 0)
+            AS BIGINT) AS total_ops_2019,
+       CAST(NULL AS DOUBLE) AS change_pct
+FROM traffic"""
+    q["utc_dates"] = "SELECT event_id, CAST(ts AS DATE) AS utc_day FROM events"
     sums = f"""s AS (
   SELECT CAST(COALESCE(SUM(CASE WHEN FLT_DATE BETWEEN DATE '{START}' AND DATE '{END}' THEN FLT_TOT_1 END), 0) AS BIGINT) AS total_ops,
          CAST(COALESCE(SUM(CASE WHEN FLT_DATE BETWEEN DATE '{START}' AND DATE '{END}' THEN FLT_ARR_1 END), 0) AS BIGINT) AS total_arrivals,

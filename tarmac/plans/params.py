@@ -9,3 +9,4 @@ START, END = "2022-01-01", "2022-01-31"   # the dashboard's default range
 REF_START, REF_END = "2019-01-01", "2019-01-31"
 SPLIT = SPLIT_DATE
 CORRELATION_FEATURES = list(EARLIER_NUMERICAL_FEATURES)
+EMPTY_RANGE = ("2015-01-01", "2015-01-31")   # before the first day of the fixture

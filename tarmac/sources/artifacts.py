@@ -1,11 +1,15 @@
 """Artifacts of a training run: lookup tables, bin edges, scalars, feature
 lists, fitted pipelines and their metrics, stored as Parquet tables and
-``PipelineModel`` directories under one folder."""
+``PipelineModel`` directories.
+
+Every save goes to a new ``version-<n>`` folder whose ``complete`` marker is
+written last; loading takes the newest complete version.  A save that is cut
+short therefore never replaces or mixes with an earlier one."""
 
 from __future__ import annotations
 
-import os
 import re
+import time
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -31,6 +35,16 @@ class Artifacts:
     monthly_rows: int | None = None
     overall_rows: int | None = None
     countries_rows: int | None = None
+    stats: DataFrame | None = None
+    stats_rows: int | None = None
+    numerical: list[str] = field(default_factory=lambda: list(NUMERICAL_FEATURES))
+    categorical: list[str] = field(default_factory=lambda: list(CATEGORICAL_FEATURES))
+    phases: list[str] = field(default_factory=lambda: list(PHASE_ORDER))
+
+    def stats_small(self) -> bool | None:
+        if self.stats is None or self.stats_rows is None:
+            return None
+        return self.stats_rows <= broadcast_limit(self.stats)
 
     def countries_small(self) -> bool | None:
         if self.countries_rows is None:
@@ -49,13 +63,17 @@ def _slug(name: str) -> str:
 
 
 def save_artifacts(path: str, lookups, models: dict | None = None,
-                   metrics: DataFrame | None = None) -> None:
-    """Write the lookup tables of ``lookups`` (a PreparedTraffic or
-    Artifacts), the fitted models and the metrics table under ``path``."""
+                   metrics: DataFrame | None = None) -> str:
+    """Write the lookup and statistics tables of ``lookups`` (a
+    PreparedTraffic or Artifacts), the fitted models and the metrics table as
+    a new version under ``path``; returns the version's folder."""
     spark = lookups.monthly.sparkSession
+    home, path = path, f"{path}/version-{time.time_ns():020d}"
     lookups.monthly.write.mode("overwrite").parquet(f"{path}/baseline_monthly")
     lookups.overall.write.mode("overwrite").parquet(f"{path}/baseline_overall")
     lookups.countries.write.mode("overwrite").parquet(f"{path}/airport_countries")
+    if lookups.stats is not None:
+        lookups.stats.write.mode("overwrite").parquet(f"{path}/airport_month_stats")
     labels = list(getattr(lookups, "labels", VOLUME_LABELS))
     bins = [(i, float(e), labels[i - 1] if i > 0 else None) for i, e in enumerate(lookups.edges)]
     spark.createDataFrame(bins, "edge_index int, edge double, label string") \
@@ -78,21 +96,38 @@ def save_artifacts(path: str, lookups, models: dict | None = None,
             .write.mode("overwrite").parquet(f"{path}/model_index")
     if metrics is not None:
         metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+    spark.createDataFrame([(home,)], "home string").write.parquet(f"{path}/complete")
+    return path
+
+
+def _filesystem(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, hpath = _filesystem(spark, path)
     return fs.exists(hpath)
 
 
+def latest_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the newest complete version under ``path``."""
+    fs, hpath = _filesystem(spark, path)
+    if not fs.exists(hpath):
+        return None
+    names = sorted((s.getPath().getName() for s in fs.listStatus(hpath)), reverse=True)
+    return next((f"{path}/{n}" for n in names
+                 if n.startswith("version-") and _exists(spark, f"{path}/{n}/complete/_SUCCESS")), None)
+
+
 def load_artifacts(spark: SparkSession, path: str, with_models: bool = True) -> Artifacts:
-    """Read what ``save_artifacts`` wrote; a missing folder is a clear error."""
-    if not _exists(spark, f"{path}/scalars"):
+    """Read the newest complete version ``save_artifacts`` wrote; no such version is a clear error."""
+    version = latest_version(spark, path)
+    if version is None:
         raise FileNotFoundError(
             f"no training artifacts under {path!r}: run the training job first "
             "(tarmac.plans.training_job)")
+    path = version
     monthly = spark.read.parquet(f"{path}/baseline_monthly").persist()
     overall = spark.read.parquet(f"{path}/baseline_overall").persist()
     countries = spark.read.parquet(f"{path}/airport_countries").persist()
@@ -104,6 +139,11 @@ def load_artifacts(spark: SparkSession, path: str, with_models: bool = True) ->
             models[row["model"]] = PipelineModel.load(f"{path}/models/{row['directory']}")
     if _exists(spark, f"{path}/metrics"):
         metrics = spark.read.parquet(f"{path}/metrics")
+    stats = None
+    if _exists(spark, f"{path}/airport_month_stats"):
+        stats = spark.read.parquet(f"{path}/airport_month_stats")
+    features = spark.read.parquet(f"{path}/features").orderBy("kind", "position").collect()
+    phases = spark.read.parquet(f"{path}/phase_order").orderBy("phase_rank").collect()
     return Artifacts(
         monthly=monthly, overall=overall, countries=countries,
         global_mean=float(scalars["overall_pre_pandemic_mean"]),
@@ -111,7 +151,11 @@ def load_artifacts(spark: SparkSession, path: str, with_models: bool = True) ->
         labels=[r["label"] for r in bins if r["label"] is not None],
         models=models, metrics=metrics,
         monthly_rows=monthly.count(), overall_rows=overall.count(),
-        countries_rows=countries.count())
+        countries_rows=countries.count(),
+        stats=stats, stats_rows=None if stats is None else stats.count(),
+        numerical=[r["feature"] for r in features if r["kind"] == "numerical"],
+        categorical=[r["feature"] for r in features if r["kind"] == "categorical"],
+        phases=[r["pandemic_phase"] for r in phases])
 
 
 def model_metrics(artifacts: Artifacts, model: str) -> DataFrame:
@@ -120,7 +164,3 @@ def model_metrics(artifacts: Artifacts, model: str) -> DataFrame:
         raise ValueError("the artifacts hold no metrics table")
     return (artifacts.metrics.where(F.col("model") == model)
             .select("split", "scale", "metric", "value"))
-
-
-def artifacts_path_default() -> str:
-    return os.path.join("models", "traffic")

@@ -127,10 +127,34 @@ def test_scoring_is_non_negative_and_round_trips(spark, planted, ridge, tmpdir_p
     for k in before:
         assert after[k] == pytest.approx(before[k], rel=1e-9)
     assert model_metrics(art, ridge.name).count() == 12
+    assert art.numerical == NUMERICAL_FEATURES and art.categorical == CATEGORICAL_FEATURES
+    wide = {(r["APT_ICAO"], r["FLT_DATE"]): r["avg_pre_pandemic_monthly_traffic"]
+            for r in scoring_features(req, planted, scope="all").collect()}
+    for r in scoring_features(req, art, scope="all").collect():
+        assert r["avg_pre_pandemic_monthly_traffic"] == pytest.approx(wide[(r["APT_ICAO"], r["FLT_DATE"])])
+    # a save that never finished is not loaded
+    spark.range(1).write.parquet(f"{path}/version-99999999999999999999/scalars")
+    assert load_artifacts(spark, path, with_models=False).edges == art.edges
     ctx = {r["APT_ICAO"]: r for r in forecast_context(req, art).collect()}
     assert ctx["NEW1"]["historical_avg"] is None and ctx["AAA"]["month_name"] == "June"
 
 
+def test_forecast_by_model_name(spark, planted, ridge):
+    from tarmac.ml.scoring import forecast
+    req = spark.createDataFrame([("AAA", dt.date(2023, 6, 1)), ("NEW1", dt.date(2023, 6, 1))],
+                                "airport string, flt_date date")
+    rows = forecast(req, planted, {"a": ridge.model, "b": ridge.model}).collect()
+    assert sorted((r["model"], r["APT_ICAO"]) for r in rows) == [("a", "AAA"), ("a", "NEW1"), ("b", "AAA"), ("b", "NEW1")]
+    want = {r["APT_ICAO"]: r["predicted_flights"]
+            for r in score_requests(ridge.model, scoring_features(req, planted)).collect()}
+    context = {r["APT_ICAO"]: r["historical_avg"] for r in forecast_context(req, planted).collect()}
+    for r in rows:
+        assert r["predicted_flights"] == pytest.approx(want[r["APT_ICAO"]])
+        assert r["historical_avg"] == context[r["APT_ICAO"]] and r["month_name"] == "June"
+    with pytest.raises(ValueError):
+        forecast(req, planted, {})
+
+
 def test_missing_artifacts_is_clear_error(spark, tmpdir_path):
     with pytest.raises(FileNotFoundError, match="training job"):
         load_artifacts(spark, f"{tmpdir_path}/nothing-here")
@@ -164,12 +188,26 @@ def test_standardizer_uses_population_deviation(spark, planted, ridge):
         assert r["s"] == pytest.approx(1.0, rel=1e-9)
 
 
-def test_solver_switches_past_the_normal_equation_limit(spark):
+def test_the_solver_never_follows_the_width_of_the_design(spark):
     from tarmac.ml import pipelines as P
-    assert P.ols_pipeline(n_features=100).getStages()[-1].getSolver() == "normal"
-    assert P.ols_pipeline(n_features=5000).getStages()[-1].getSolver() == "l-bfgs"
     assert P.ridge_pipeline(0.1, n_features=4096).getStages()[-1].getSolver() == "normal"
-    assert P.ridge_pipeline(0.1, n_features=4097).getStages()[-1].getSolver() == "l-bfgs"
+    for make in (P.ols_pipeline, lambda **k: P.ridge_pipeline(0.1, **k)):
+        with pytest.raises(ValueError, match="l-bfgs"):
+            make(n_features=4097)
+        assert make(n_features=4097, solver="l-bfgs").getStages()[-1].getSolver() == "l-bfgs"
+        with pytest.raises(ValueError, match="solver"):
+            make(n_features=10, solver="other")
+
+
+@pytest.mark.parametrize("fit", [TR.fit_ridge, TR.fit_ols])
+def test_both_solvers_give_the_same_predictions(planted, fit):
+    rows = planted.train()
+    got = []
+    for solver in ("normal", "l-bfgs"):
+        scored = fit(planted, solver=solver).model.transform(rows)
+        got.append({(r[0], r[1]): r[2] for r in scored.select("APT_ICAO", "FLT_DATE", "prediction").collect()})
+    assert got[0].keys() == got[1].keys()
+    assert max(abs(got[0][k] - got[1][k]) for k in got[0]) < 1e-6
 
 
 def test_ols_matches_least_squares_on_the_fixture(spark):
