@@ -21,7 +21,6 @@ import hashlib
 import heapq
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 42
 VARIANTS = 3                 # different segmentations of one word over the corpus, at most
-CACHE_WORDS = 80_000         # cached words of one variant (about 20 MB); the cache starts anew when full
+CACHE_WORDS = 160_000        # cached words of one variant (about 35 MB); the cache starts anew when full
 SPACE = "▁"
 MASK = (1 << 64) - 1
 WIDTHS = (6, 9, 12, 16, 24)  # column classes; longer units go through their agenda one by one
@@ -120,16 +119,27 @@ def _tables(model: bytes) -> Tables:
     return Tables(ranks, len(pieces))
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<i4").tobytes()
+
+
+def unpacked(data: bytes) -> list[int]:
+    return np.frombuffer(data, "<i4").tolist()
+
+
 class Encoder:
-    """Encodes texts; one instance lives in a worker for its task."""
+    """Encodes texts; one instance lives in a worker for its tasks.  Ids are kept packed, as
+    little-endian int32: a cached word is one short byte string and a text is their join."""
 
     def __init__(self, model: bytes, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         self.ranks, self.byte_ids, self.pieces, self.bytes_of = _vocabulary(model)
         self.limit, self.seed, self.variants = int(dropout * (1 << 20)), seed, variants if dropout else 1
         self.tables = _tables(model)
         # by variant: words with the space mark before them, and words without
-        self.marked: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
-        self.bare: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
+        self.marked: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.bare: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.newline = packed([self.byte_ids[10]])
+        self.space_bytes = packed([self.byte_ids[b] for b in SPACE.encode("utf-8")])
         self.spoken = [bytes([self.bytes_of[i]]) if i in self.bytes_of else p.replace(SPACE, " ").encode("utf-8")
                        for i, p in enumerate(self.pieces)]
 
@@ -187,10 +197,10 @@ class Encoder:
         return out
 
     def encode(self, text: str, key: int) -> list[int]:
-        return self.encode_batch([text], [key])[0]
+        return unpacked(self.encode_batch([text], [key])[0])
 
-    def encode_batch(self, values: list[str | None], keys: list[int]) -> list[list[int] | None]:
-        """All texts of a batch; words not met yet are cut together.  A line's words share a variant,
+    def encode_batch(self, values: list[str | None], keys: list[int]) -> list[bytes | None]:
+        """Packed ids of all texts of a batch; words not met yet are cut together.  A line's words share a variant,
         which a keyed hash of (document, line) picks."""
         marked: list[set[str]] = [set() for _ in range(self.variants)]
         bare: list[set[str]] = [set() for _ in range(self.variants)]
@@ -223,39 +233,41 @@ class Encoder:
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
         return ((x >> np.uint64(40)) % np.uint64(self.variants)).tolist()
 
-    def _learn(self, cache: dict[str, tuple[int, ...]], words: set[str], mark: str, variant: int) -> None:
+    def _learn(self, cache: dict[str, bytes], words: set[str], mark: str, variant: int) -> None:
         """Bring ``words`` into the cache, which starts anew when it would grow past its limit."""
         todo = list(words.difference(cache))
         if len(cache) + len(todo) > CACHE_WORDS:
             cache.clear()
             todo = list(words)
-        cache.update(zip(todo, map(tuple, self.units([mark + w for w in todo], variant))))
+        cache.update(zip(todo, self.packed_units([mark + w for w in todo], variant)))
 
-    def _joined(self, plan: list) -> list[int]:
-        out: list[int] = []
-        newline = self.byte_ids[10]
+    def _joined(self, plan: list) -> bytes:
+        out: list[bytes] = []
         for line_no, (words, later, v) in enumerate(plan):
             if line_no:
-                out.append(newline)
+                out.append(self.newline)
             if isinstance(words, str):
                 self._odd_line(words, later, v, out)
                 continue
             if later:
-                out += self.bare[v][words[0]]
+                out.append(self.bare[v][words[0]])
                 words = words[1:]
-            out.extend(chain.from_iterable(map(self.marked[v].__getitem__, words)))
-        return out
+            out.extend(map(self.marked[v].__getitem__, words))
+        return b"".join(out)
 
     def units(self, units: list[str], variant: int) -> list[list[int]]:
+        return [unpacked(x) for x in self.packed_units(units, variant)]
+
+    def packed_units(self, units: list[str], variant: int) -> list[bytes]:
         """The agenda for many units at once: in every round each unit takes its best candidate."""
-        out: list[list[int] | None] = [None] * len(units)
+        out: list[bytes | None] = [None] * len(units)
         by_width: dict[int, list[int]] = {}
         for k, u in enumerate(units):
             width = next((w for w in WIDTHS if len(u) <= w), 0)
             if width and "\0" not in u:
                 by_width.setdefault(width, []).append(k)
             else:
-                out[k] = self.unit(u, variant)
+                out[k] = packed(self.unit(u, variant))
         for width, at in by_width.items():
             for begin in range(0, len(at), CHUNK_UNITS):
                 part = at[begin:begin + CHUNK_UNITS]
@@ -263,7 +275,7 @@ class Encoder:
                     out[k] = ids
         return out
 
-    def _rounds(self, units: list[str], width: int, variant: int) -> list[list[int]]:
+    def _rounds(self, units: list[str], width: int, variant: int) -> list[bytes]:
         """Column-wise arrays (width, units): ``symbols``, their first ``place``, and ``best`` with
         the candidate of every adjacent pair as rank, place and piece in one number."""
         t = self.tables
@@ -314,28 +326,34 @@ class Encoder:
             best[c, r] = candidates(symbols[c, r], symbols[c + 1, r], place[c, r], keys[r])
         plain = (done <= t.pad).all(axis=1)      # no character without a piece
         lengths = (done != t.pad).sum(axis=1)
-        result = []
-        for row, m, simple in zip(done.tolist(), lengths.tolist(), plain.tolist()):
-            row = row[:m]
-            result.append(row if simple else [x for s in row for x in (
+        data = done.astype("<i4").tobytes()
+        ends = np.arange(0, 4 * width * len(units), 4 * width) + 4 * lengths
+        result = [data[begin:end] for begin, end in zip(range(0, len(data), 4 * width), ends.tolist())]
+        for k in np.nonzero(~plain)[0].tolist():
+            result[k] = packed([x for s in unpacked(result[k]) for x in (
                 (s,) if s < t.pad else [self.byte_ids[b] for b in chr(s - t.pad - 1).encode("utf-8")])])
         return result
 
-    def _odd_line(self, line: str, dummy: bool, variant: int, out: list[int]) -> None:
+    def _odd_line(self, line: str, dummy: bool, variant: int, out: list[bytes]) -> None:
         """A line with runs of spaces or with the space mark itself (which goes as its three bytes)."""
-        mark_bytes = [self.byte_ids[b] for b in SPACE.encode("utf-8")]
         for k, part in enumerate(line.split(SPACE)):
             if k:
-                out += mark_bytes
+                out.append(self.space_bytes)
             part = (SPACE if dummy and k == 0 else "") + part.replace(" ", SPACE)
             for unit in UNIT.findall(part):
-                out += self.unit(unit, variant)
+                out.append(packed(self.unit(unit, variant)))
 
     def decode(self, ids: list[int]) -> str:
         """The text, without the mark that was put before the first word."""
         return b"".join(map(self.spoken.__getitem__, ids)).decode("utf-8")[1:]
 
 
+@lru_cache(maxsize=1)
+def _encoder(model: bytes, dropout: float, seed: int) -> Encoder:
+    """The worker's encoder: later tasks find the words of earlier ones, within the same bound."""
+    return Encoder(model, dropout, seed)
+
+
 def doc_key(value) -> int:
     return zlib.crc32(str(value).encode("utf-8"))
 
@@ -358,19 +376,19 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Batches) -> Batches:
         gc.set_threshold(100_000, 50, 100)      # the caches hold no cycles worth looking for
-        encoder = Encoder(model, dropout, seed)
+        encoder = _encoder(model, dropout, seed)
         for batch in batches:
             values, keys = batch.column(at).to_pylist(), batch.column(key_at).to_pylist()
             ids = encoder.encode_batch(values, [doc_key(k) for k in keys])
             if verify:
-                extra = {"n_pieces": pa.array([None if x is None else len(x) for x in ids], pa.int64()),
-                         "pieces_sha256": pa.array([None if x is None else hashlib.sha256(np.array(x, "<i4").tobytes())
-                                                    .hexdigest() for x in ids], pa.string()),
-                         "lossless": pa.array([None if x is None else encoder.decode(x) == t
+                extra = {"n_pieces": pa.array([None if x is None else len(x) // 4 for x in ids], pa.int64()),
+                         "pieces_sha256": pa.array([None if x is None else hashlib.sha256(x).hexdigest()
+                                                    for x in ids], pa.string()),
+                         "lossless": pa.array([None if x is None else encoder.decode(unpacked(x)) == t
                                                for x, t in zip(ids, values)], pa.bool_())}
             else:
-                sizes = np.array([0 if x is None else len(x) for x in ids], np.int64)
-                flat = np.fromiter((i for x in ids if x for i in x), np.int32, int(sizes.sum()))
+                sizes = np.array([0 if x is None else len(x) // 4 for x in ids], np.int64)
+                flat = np.frombuffer(b"".join(x for x in ids if x), "<i4")
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.int32(),
                                    mask=np.array([x is None for x in ids] + [False]))
                 extra = {"piece_ids": pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))}
