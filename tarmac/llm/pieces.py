@@ -19,6 +19,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import heapq
+import uuid
 import zlib
 from functools import lru_cache
 
@@ -349,8 +350,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(model: bytes, dropout: float, seed: int) -> Encoder:
-    """The worker's encoder: later tasks find the words of earlier ones, within the same bound."""
+def _encoder(model: bytes, dropout: float, seed: int, job: str) -> Encoder:
+    """The worker's encoder of one call of ``encode_documents``: its later tasks find the words of
+    its earlier ones, within the same bound; nothing is carried over to another call."""
     return Encoder(model, dropout, seed)
 
 
@@ -373,10 +375,11 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     model = read_model(docs, model_path)
     at, key_at = docs.columns.index(text_col), docs.columns.index(id_col)
     kept = [i for i in range(len(docs.columns)) if i != at]
+    job = uuid.uuid4().hex
 
     def run(batches: Batches) -> Batches:
         gc.set_threshold(100_000, 50, 100)      # the caches hold no cycles worth looking for
-        encoder = _encoder(model, dropout, seed)
+        encoder = _encoder(model, dropout, seed, job)
         for batch in batches:
             values, keys = batch.column(at).to_pylist(), batch.column(key_at).to_pylist()
             ids = encoder.encode_batch(values, [doc_key(k) for k in keys])
