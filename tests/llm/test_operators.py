@@ -291,6 +291,37 @@ def test_chain_scores_equal_quadratic_search():
         assert total >= 0.6 * max(score)
 
 
+def test_second_passage_of_a_pair_is_chained_on_its_own():
+    """A match whose best scored predecessor is out of reach takes a nearer one."""
+    a = np.array([0, 5, 10, 15, 20, 25, 30, 35, 140, 150, 160, 170])
+    got = passages.chain(a, a + 7, np.full(len(a), 5))
+    assert [sorted(a[path].tolist()) for path in got] == [a[:8].tolist(), a[8:].tolist()]
+
+
+def edited(rng, words, every):
+    out = list(words)
+    for i in range(every - 1, len(out), every):
+        out[i] = f"x{rng.integers(1 << 40)}"
+    return out
+
+
+def test_two_edited_passages_of_one_pair(docs):
+    """Two fuzzy passages 100 words apart, and two 60 words apart (one chain, which is cut)."""
+    rng = np.random.default_rng(11)
+
+    def fresh(n):
+        return [f"f{k}" for k in rng.integers(1 << 40, size=n)]
+    rows = []
+    for k, between in enumerate((100, 60)):
+        one, two = fresh(90), fresh(90)
+        rows += [(2 * k, " ".join(fresh(30) + one + fresh(between) + two + fresh(30)), None, None, None),
+                 (2 * k + 1, " ".join(fresh(30) + edited(rng, one, 12) + fresh(between) + edited(rng, two, 12) + fresh(30)), None, None, None)]
+    got = passages.repeated_passages(docs(rows)).collect()
+    for k, between in enumerate((100, 60)):
+        spans = sorted((r.begin_word, r.end_word) for r in got if (r.doc_id, r.partner_id) == (2 * k + 1, 2 * k))
+        assert len(spans) == 2 and spans[0][0] <= 35 and spans[0][1] <= 125 and 115 + between <= spans[1][0] <= 135 + between
+
+
 # toxicity ----------------------------------------------------------------------------------------
 
 def test_maximal_segments_equal_definition():
