@@ -322,6 +322,23 @@ def test_two_edited_passages_of_one_pair(docs):
         assert len(spans) == 2 and spans[0][0] <= 35 and spans[0][1] <= 125 and 115 + between <= spans[1][0] <= 135 + between
 
 
+def test_all_passages_of_fifty_words_are_found(docs):
+    """Similarity 0.84 (every sixth word changed) and 0.8 (every fifth), 40 pairs of documents each."""
+    rng = np.random.default_rng(12)
+
+    def fresh(n):
+        return [f"f{k}" for k in rng.integers(1 << 40, size=n)]
+    rows = []
+    for k in range(80):
+        one = fresh(50)
+        every = 5 + k % 2
+        two = [f"y{k}-{i}" if i % every == every // 2 else w for i, w in enumerate(one)]
+        rows += [(2 * k, " ".join(fresh(40) + one + fresh(40)), None, None, None),
+                 (2 * k + 1, " ".join(fresh(60) + two + fresh(20)), None, None, None)]
+    got = {(r.doc_id, r.partner_id) for r in passages.repeated_passages(docs(rows)).collect()}
+    assert got == {(2 * k + 1, 2 * k) for k in range(80)}
+
+
 # toxicity ----------------------------------------------------------------------------------------
 
 def test_maximal_segments_equal_definition():
