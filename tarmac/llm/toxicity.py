@@ -94,14 +94,9 @@ class Model:
         """Best normalised sum of the r highest segments: sum(lambda S) - r ln(K n) + ln r!."""
         n = max(1, len(words))
         cost = math.log(max(self.density * n, 1e-9))
-        best = run = 0.0
-        ordered = sorted((s for _, _, s in maximal_segments(self.score_array(words))), reverse=True)
-        for r, s in enumerate(ordered, 1):
-            run += self.decay * s - cost + math.log(r)
-            if run <= best and self.decay * s < cost:
-                break
-            best = max(best, run)
-        return best
+        ordered = np.sort([s for _, _, s in maximal_segments(self.score_array(words))])[::-1]
+        run = np.cumsum(self.decay * ordered - cost + np.log(np.arange(1, len(ordered) + 1)))
+        return max(0.0, float(run.max())) if len(run) else 0.0
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         if not self.fitted:

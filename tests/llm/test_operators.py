@@ -376,6 +376,22 @@ def test_toxicity_held_out_and_edge_cases(docs, spark):
     assert len(none) == 4 and all(r.score == 0 for r in none)
 
 
+def test_evidence_is_the_best_sum_over_all_r():
+    """Also when no segment is significant by itself, as with many weak ones in a long text."""
+    rng = np.random.default_rng(8)
+    for trial in range(20):
+        model = toxicity.Model({f"t{k}": float(x) for k, x in enumerate(rng.uniform(0.5, 6, 40))}, decay=1.0, density=0.05)
+        words = ["clean"] * 2000
+        for at in range(20, 2000, 100 if trial % 2 else 400):
+            words[at] = f"t{rng.integers(40)}"
+        scores = sorted((s for _, _, s in toxicity.maximal_segments(model.score_array(words))), reverse=True)
+        cost = np.log(0.05 * 2000)
+        every = [sum(scores[:r]) - r * cost + np.log(np.arange(1, r + 1)).sum() for r in range(1, len(scores) + 1)]
+        assert model.evidence(words) == pytest.approx(max(0.0, *every))
+    weak = toxicity.Model({"t": float(np.log(100) - 0.5)}, decay=1.0, density=0.05)
+    assert weak.evidence((["clean"] * 199 + ["t"]) * 10) == pytest.approx(-5 + np.log(np.arange(1, 11)).sum())
+
+
 # PII ---------------------------------------------------------------------------------------------
 
 TEXT = ("Call +1 (743) 555-3824 or anna.b@mail5.example.com, Mr. John Smith, Frau Müller, Mr SMITH, 4465758382889437 "
