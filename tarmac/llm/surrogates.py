@@ -9,7 +9,8 @@ honorific's gender and of its own script.
 
 Coreference and distinctness are global: every distinct entity of the corpus is one row; a surrogate
 that is itself an entity of the corpus, or that two originals share, is drawn again with the next
-attempt number until no collision is left.  As surrogates are functions of (key, entity, attempt),
+attempt number until no collision is left; drawn names grow with the attempts, so a few rounds settle
+any number of names.  As surrogates are functions of (key, entity, attempt),
 documents are rewritten in one pass that needs only the few entities with attempt > 0, broadcast
 while counted small, else joined per document.
 
@@ -33,6 +34,7 @@ from .common import Batches, quoted, texts, written
 KEY = b"tarmac surrogate key"
 BROADCAST_EXCEPTIONS = 100_000
 MAX_ROUNDS = 40
+LIST_ATTEMPTS = 4            # attempts that take a given name as it is in the list
 
 # Honorifics and the gender they tell.
 HONORIFICS = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Madam": "f", "Herr": "m", "Herrn": "m", "Frau": "f",
@@ -199,17 +201,19 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes = KEY) -> str:
         names = GIVEN[script_of(canonical)]
         own = names["m"] + names["f"] if kind[-1] == "n" else names[kind[-1]]
         base = own[(_draw(key, kind, canonical) + attempt) % len(own)].casefold()
-        rounds = attempt // len(own)        # the list is used up for this entity: composed names
-        return base if not rounds else base + "".join(_syllables(canonical, f"{kind}|{attempt}", key, rounds))
+        more = attempt - LIST_ATTEMPTS + 1      # then composed names, a syllable longer with every attempt
+        return base if more <= 0 else base + "".join(_syllables(canonical, f"{kind}|{attempt}", key, more))
     if kind == "surname":
-        return "".join(_syllables(canonical, tweak, key, 3 + attempt // 8))
+        return "".join(_syllables(canonical, tweak, key, 3 + max(0, attempt - 1)))
     return permute(canonical, key, tweak)
 
 
 def _syllables(canonical: str, tweak: str, key: bytes, n: int) -> list[str]:
-    own = SYLLABLES[script_of(canonical)]
-    x = _draw(key, tweak, canonical)
-    return [own[(x >> (8 * i)) % len(own)] for i in range(n)]
+    own, out = SYLLABLES[script_of(canonical)], []
+    for part in range(0, n, 16):        # a draw holds 16
+        x = _draw(key, tweak, canonical) if not part else _draw(key, tweak, canonical, part)
+        out += [own[(x >> (8 * i)) % len(own)] for i in range(min(16, n - part))]
+    return out
 
 
 def restore(kind: str, original: str, canonical: str) -> str:

@@ -425,6 +425,26 @@ def test_surrogate_collisions_are_settled(docs):
         assert len({r.text.split(" ")[2] for r in got}) == 1
 
 
+def test_many_names_are_settled_in_few_rounds():
+    """20,000 given names after Dr, and as many surnames: drawn again as settle() does, in plain Python."""
+    for kind in ("given-n", "surname"):
+        originals = [f"name{i}" for i in range(20_000)]
+        attempts, rounds = dict.fromkeys(originals, 0), 0
+        drawn = {o: surrogates.surrogate(kind, o, 0) for o in originals}
+        while True:
+            keeper = {}
+            for o in originals:
+                keeper[drawn[o]] = min(keeper.get(drawn[o], (99, "")), (attempts[o], o))
+            again = [o for o in originals if keeper[drawn[o]][1] != o or drawn[o] in attempts]
+            if not again:
+                break
+            rounds += 1
+            assert rounds < 12
+            for o in again:
+                attempts[o] += 1
+                drawn[o] = surrogates.surrogate(kind, o, attempts[o])
+
+
 def test_permutation_is_a_bijection():
     assert len({surrogates.permute(f"{i:03d}", b"k", "t") for i in range(1000)}) == 1000
 
