@@ -1,7 +1,9 @@
 """Personal data: detected entities get keyed, type-consistent surrogates.
 
 Detection covers e-mail addresses, phone numbers, payment cards, IPv4 addresses, US social security
-numbers, IBANs, access keys and tokens, and names after an honorific.  A number-like entity goes
+numbers, IBANs, access keys and tokens, and names after an honorific with their other capitalised
+mentions in the same text.  Phone numbers begin with "+" or have the forms (555) 123-4567,
+555-123-4567 and 555.123.4567, the latter two also with a leading 1.  A number-like entity goes
 through a keyed Feistel permutation over the characters of its own classes (digit, lower, upper, by
 script), so its format, script and length stay and different originals of one format get different
 surrogates; card numbers keep their issuer digit and their Luhn status.  A name part gets a name of the
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from functools import lru_cache
 
 import pyarrow as pa
@@ -63,17 +66,23 @@ NUMERIC = re.compile(r"[0-9][0-9.-]{5,}")
 DIGITAL = re.compile(
     r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.\d|\d))"
+    r"|(?P<phone>(?<![\d.-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|1-\d{3}-\d{3}-\d{4}|1\.\d{3}\.\d{3}\.\d{4})(?!\d|[.-]\d))"
     r"|(?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?:-\d{4}){3})(?!\d))")
 SPACED_CARD = re.compile(r"[0-9]{4} \d{4} \d{4} \d{4}(?!\d)")
 IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 ACCESS = re.compile(r"AKIA[0-9A-Z]{16}(?!\w)")
 PHONE = re.compile(r"\+\d{1,3}(?:[ .-]?\(\d{2,4}\)|[ .-]\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|\+\d{8,14}(?!\d)")
+AREA = re.compile(r"\([2-9]\d{2}\) ?\d{3}[ .-]\d{4}(?!\d)")
 QUOTED = re.compile(r"[=:]\s*[\"']([^\"'\s]{8,})[\"']")
 SECRET = re.compile(r"(?i:token|secret|password|passwd|api_?key)\s*$")
-LOCAL, DOMAIN = re.compile(r"[\w.+%-]+$"), re.compile(r"(?:[\w-]+\.)+\w{2,}")
+DOMAIN = re.compile(r"(?:[\w-]+\.)+\w{2,}")
+WORD = re.compile(r"[^\W\d_]+")
 NAME = re.compile("(" + "|".join(sorted(HONORIFICS, key=len, reverse=True)) + r")\b\.? ((?:[^\W\d_a-z][^\W\d_]+)(?: [^\W\d_a-z][^\W\d_]+)?)")
 
 
+Entity = tuple[int, int, str, str]
+
+
 def _starts_word(text: str, at: int) -> bool:
     return at == 0 or not (text[at - 1].isalnum() or text[at - 1] == "_")
 
@@ -82,21 +91,26 @@ def _capital(word: str) -> bool:
     return word[0].isupper()
 
 
-def detect(text: str) -> list[tuple[int, int, str, str]]:
+def detect(text: str) -> list[Entity]:
     """Entities as (begin, end, kind, canonical form), in order, without overlaps."""
     found = []
     at = text.find("@")
     while at >= 0:
-        left, right = LOCAL.search(text[max(0, at - 64):at]), DOMAIN.match(text, at + 1, at + 256)
-        if left and right and left[0].strip("."):
-            begin = at - len(left[0].lstrip(".-"))
+        right, begin = DOMAIN.match(text, at + 1, at + 256), at
+        while right and begin and (text[begin - 1].isalnum() or text[begin - 1] in "_.+%-"):
+            begin -= 1
+        left = text[begin:at].lstrip(".-")
+        if left:
+            begin = at - len(left)
             found.append((begin, right.end(), "email", text[begin:right.end()].lower()))
         at = text.find("@", at + 1)
     if "+" in text:
         found += [(m.start(), m.end(), "phone", "+" + re.sub(r"\D", "", m[0])) for m in PHONE.finditer(text)]
     for run in NUMERIC.finditer(text):
         for m in DIGITAL.finditer(text, run.start(), run.end()):
-            found.append((m.start(), m.end(), m.lastgroup, m[0].replace("-", "")))
+            found.append((m.start(), m.end(), m.lastgroup, m[0].replace("-", "") if m.lastgroup != "phone" else re.sub(r"\D", "", m[0])))
+    if "(" in text:
+        found += [(m.start(), m.end(), "phone", re.sub(r"\D", "", m[0])) for m in AREA.finditer(text)]
     m = SPACED_CARD.search(text)
     while m:        # candidates may overlap: groups of four digits before a card are not its own
         if m.start() == 0 or not text[m.start() - 1].isdigit():
@@ -114,10 +128,31 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((begin, begin + len(words[0]), f"given-{gender}", words[0].casefold()))
                 begin += len(words[0]) + 1
             found.append((begin, begin + len(words[-1]), "surname", words[-1].casefold()))
-    out: list[tuple[int, int, str, str]] = []
+    out = _apart(found)
+    parts: dict[str, str] = {}
+    for _, _, kind, canonical in out:
+        if kind == "surname" or kind.startswith("given-"):
+            parts.setdefault(canonical, kind)
+    if parts:       # later and earlier mentions of the names without honorific
+        out = _apart(out, [(m.start(), m.end(), parts[w], w) for m in WORD.finditer(text)
+                           if (w := m[0].casefold()) in parts and _capital(m[0])])
+    return out
+
+
+def _apart(found: list[Entity], more: list[Entity] = []) -> list[Entity]:
+    """Without overlaps: the earliest, then longest; those of ``more`` only where ``found`` has none."""
+    out: list[Entity] = []
     for f in sorted(found, key=lambda f: (f[0], -f[1])):
         if not out or f[0] >= out[-1][1]:
             out.append(f)
+    if more:
+        begins = [f[0] for f in out]
+        free = []
+        for f in more:
+            k = bisect(begins, f[0])
+            if (not k or out[k - 1][1] <= f[0]) and (k == len(out) or out[k][0] >= f[1]):
+                free.append(f)
+        out = sorted(out + free)
     return out
 
 
@@ -150,7 +185,10 @@ def permute(value: str, key: bytes, tweak: str, first: str | None = None, rounds
     pattern = len(value) if hexadecimal else "".join(a[0] if a else c for c, a in ((c, _alphabet(c)) for c in value))
     for r in range(rounds):
         side = 1 - r % 2
-        numbers[side] = (numbers[side] + _draw(key, tweak, pattern, r, numbers[1 - side])) % sizes[side]
+        drawn = _draw(key, tweak, pattern, r, numbers[1 - side])
+        for k in range(1, 1 + sizes[side].bit_length() // 120):      # long values: every character is to change
+            drawn = drawn << 128 | _draw(key, tweak, pattern, r, numbers[1 - side], k)
+        numbers[side] = (numbers[side] + drawn) % sizes[side]
     out = list(value)
     for half, number in zip(halves, numbers):
         for i, a in reversed(half):
@@ -176,6 +214,8 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes = KEY) -> str:
         offset = int(canonical[-1]) - _luhn_digit(canonical[:-1])
         return body + str((_luhn_digit(body) + offset) % 10)
     if kind == "phone":
+        if canonical[0] != "+":     # national: ten digits, or eleven with the leading 1
+            return canonical[:-10] + permute(canonical[-10:], key, tweak, "23456789")
         code = 2 if len(canonical) > 9 else 1
         return canonical[:code] + permute(canonical[code:], key, tweak, "23456789")
     if kind == "ip":

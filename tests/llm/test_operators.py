@@ -425,6 +425,20 @@ def test_surrogate_collisions_are_settled(docs):
         assert len({r.text.split(" ")[2] for r in got}) == 1
 
 
+def test_other_mentions_national_phones_and_long_locals_are_replaced():
+    text = ("Smith called. Mr. John Smith wrote; John Smith and SMITH agree, a blacksmith does not. (555) 123-4567, "
+            "555-123-4567, 1-555-123-4567 and 555.123.4567 but 1555-999-45678; " + "a" * 100 + "@mail.example.com")
+    found = surrogates.detect(text)
+    assert [text[b:e] for b, e, *_ in found] == ["Smith", "John", "Smith", "John", "Smith", "SMITH", "(555) 123-4567", "555-123-4567",
+                                                 "1-555-123-4567", "555.123.4567", "a" * 100 + "@mail.example.com"]
+    new, n = surrogates.rewrite(text, {})
+    assert n == 11 and not re.search("Smith|John|SMITH|123-4567|123.4567|aaaaaaaa", new) and "blacksmith" in new
+    given, surname = re.search(r"Mr\. (\w+) (\w+) wrote", new).groups()
+    assert new.startswith(surname + " called.") and f"; {given} {surname} and {surname.upper()} agree" in new
+    phones = re.findall(r"\((\d{3})\) (\d{3})-(\d{4}), (\d{3})-(\d{3})-(\d{4}), 1-\d{3}-\d{3}-\d{4} and (\d{3})\.(\d{3})\.(\d{4}) but", new)[0]
+    assert phones[:3] == phones[3:6] == phones[6:]
+
+
 def test_many_names_are_settled_in_few_rounds():
     """20,000 given names after Dr, and as many surnames: drawn again as settle() does, in plain Python."""
     for kind in ("given-n", "surname"):
