@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, passages, pieces, quality, simhash, surrogates, toxicity, warc
+from . import (exact_dedup, langid, lexical, mixing, negatives, passages, pieces, quality, simhash, surrogates, toxicity,
+               warc, wordbpe)
 from .common import prepare_session, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +55,21 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op11_stratified_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                  table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op12_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.encode_report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")),
+                                    F.col("id") % 100 == 0)
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
                   sha1(coalesce(html, '')) AS payload_digest FROM pages),
@@ -109,6 +125,41 @@ FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
 LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id,
+                  unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+p AS (SELECT k, doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+n AS (SELECT k, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY k),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM n),
+m AS (SELECT k, 100 - 75 + (75 * n * docs) // len AS m FROM n, c),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+      FROM p, c GROUP BY term, docs),
+q AS (SELECT row_number() OVER () AS i, item_id,
+             unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+t AS (SELECT i, item_id, term, count(*) AS qtf FROM q GROUP BY ALL),
+s AS (SELECT i, item_id, k, doc_id, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM t JOIN w USING (term) JOIN p USING (term) JOIN m USING (k) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, k) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH e AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.k AS ak, a.vec_id AS anchor_id, a.label = b.label AS same, b.k, b.vec_id,
+             CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.k <> b.k AND a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY ak ORDER BY score DESC, vec_id, k) AS place FROM s WHERE same QUALIFY place <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             CAST(row_number() OVER (PARTITION BY p.ak, p.k ORDER BY s.score DESC, s.vec_id, s.k) AS INT) AS rank
+      FROM p JOIN s ON p.ak = s.ak AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 _QUERIES: dict[str, Query] = {
     "op1_warc_index": op1_warc_index,
     "op2_language_id": op2_language_id,
@@ -120,9 +171,13 @@ _QUERIES: dict[str, Query] = {
     "op8_toxic_segments": op8_toxic_segments,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_source_mix": op10_source_mix,
+    "op11_stratified_search": op11_stratified_search,
+    "op12_speculative_bpe": op12_speculative_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op1_warc_index": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op10_source_mix": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_warc_index": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op10_source_mix": OP10_SQL,
+                           "op11_stratified_search": OP11_SQL, "op13_hard_negatives": OP13_SQL}
 
 
 def _prepared(fn: Query) -> Query:
