@@ -83,6 +83,12 @@ def products(points: np.ndarray, query: np.ndarray) -> np.ndarray:
     return points.astype(np.int64) @ query.astype(np.int64)
 
 
+def spans(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers begin[0] .. end[0] - 1, begin[1] .. end[1] - 1, and so on."""
+    sizes = end - begin
+    return np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 # cover tree ----------------------------------------------------------------------------------------
 
 class CoverTree:
@@ -155,9 +161,9 @@ class CoverTree:
         ``score``, and the number of inner products.  Rows of the query's label if ``same``, else of all others."""
         size = float(np.sqrt((query.astype(np.float64) ** 2).sum())) * self.norm
         slack = 1.0 + 1e-7 * size
-        least = low.copy()
+        least, highest = low.copy(), high.max()
         pool_member, pool_score = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        chosen = [np.zeros(0, np.int64) for _ in low]
+        chosen = [(0, 0)] * len(low)
 
         def bounds(nodes: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if not size:
@@ -167,27 +173,33 @@ class CoverTree:
                     size * np.cos(np.minimum(np.pi, phi + self.angle[nodes])) - slack)
 
         def meets(upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
-            return ((upper[:, None] >= least) & (lower[:, None] <= high)).any(axis=1)
+            out = np.nonzero((upper >= least.min()) & (lower <= highest))[0]
+            if len(least) == 1 or not len(out):
+                return out
+            return out[((upper[out, None] >= least) & (lower[out, None] <= high)).any(axis=1)]
 
         def verify(leaves: np.ndarray, score: np.ndarray) -> None:
             nonlocal pool_member, pool_score, chosen
             hit = meets(score, score)
+            if not len(hit):
+                return
             at, score = self.node[leaves[hit]], score[hit]
-            sizes = self.member_start[at + 1] - self.member_start[at]
-            member = np.repeat(self.member_start[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            score = np.repeat(score, sizes)
+            member, end = self.member_start[at], self.member_start[at + 1]
+            if (end - member > 1).any():
+                member, score = spans(member, end), np.repeat(score, end - member)
             fits = ((self.label[member] == label) if same else (self.label[member] != label)) & (self.tag[member] != skip_tag)
             if not fits.any():
                 return
-            member, score = np.r_[pool_member, member[fits]], np.r_[pool_score, score[fits]]
+            member, score = np.concatenate((pool_member, member[fits])), np.concatenate((pool_score, score[fits]))
             order = np.lexsort((self.tag[member], self.id[member], -score))
             member, score = member[order], score[order]
             begin = np.searchsorted(-score, -high, "left")
             end = np.minimum(begin + k, np.searchsorted(-score, -low, "right"))
             full = np.nonzero(end - begin >= k)[0]
             least[full] = score[end[full] - 1]
-            needed = np.unique(np.concatenate([np.arange(b, e) for b, e in zip(begin, end)]))
-            chosen = [np.searchsorted(needed, np.arange(b, e)) for b, e in zip(begin, end)]
+            end = np.maximum(begin, end)
+            needed = np.unique(spans(begin, end))
+            chosen = list(zip(np.searchsorted(needed, begin).tolist(), (end - begin).tolist()))
             pool_member, pool_score = member[needed], score[needed]
 
         work, step = 1, FIRST_NODES
@@ -195,13 +207,13 @@ class CoverTree:
         score = products(self.vectors[:1], query)
         if self.leaf[0]:
             verify(nodes, score)
-            return chosen, pool_member, pool_score, work
+            return [np.arange(b, b + n) for b, n in chosen], pool_member, pool_score, work
         upper, lower = bounds(nodes, score)
         while True:
             open_ = meets(upper, lower)
             nodes, upper, lower = nodes[open_], upper[open_], lower[open_]
             if not len(nodes):
-                return chosen, pool_member, pool_score, work
+                return [np.arange(b, b + n) for b, n in chosen], pool_member, pool_score, work
             first = np.argpartition(-upper, step)[:step] if len(nodes) > step else np.arange(len(nodes))
             rest = np.ones(len(nodes), bool)
             rest[first] = False
@@ -210,14 +222,19 @@ class CoverTree:
                 below = np.arange(begin[0], end[0])
                 score = products(self.vectors[begin[0]:end[0]], query)
             else:
-                below = np.repeat(begin - (np.cumsum(end - begin) - (end - begin)), end - begin) + np.arange((end - begin).sum())
+                below = spans(begin, end)
                 score = products(self.vectors[below], query)
             work, step = work + len(below), step * 2
             leaf = self.leaf[below]
             if leaf.any():
                 verify(below[leaf], score[leaf])
-            up, lo = bounds(below[~leaf], score[~leaf])
-            nodes, upper, lower = np.r_[nodes[rest], below[~leaf]], np.r_[upper[rest], up], np.r_[lower[rest], lo]
+            if not leaf.all():
+                inner = below[~leaf]
+                up, lo = bounds(inner, score[~leaf])
+                nodes = np.concatenate((nodes[rest], inner))
+                upper, lower = np.concatenate((upper[rest], up)), np.concatenate((lower[rest], lo))
+            else:
+                nodes, upper, lower = nodes[rest], upper[rest], lower[rest]
 
 
 # distributed search --------------------------------------------------------------------------------

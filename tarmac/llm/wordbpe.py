@@ -6,10 +6,10 @@ across the pair's border would have come before the merges that built the two to
 greedily into longest matches (the guess), all adjacent pairs of a batch are checked in numpy arrays, and
 only words with an incompatible pair run through the merge agenda.
 
-Texts are cut at blanks, tabs and line ends, which belong to no word and which no normal form joins to a
-neighbour; the pieces' results are cached (a bounded number, per worker).  Pieces of printable ASCII are cut
-into words by a pattern here; all others go through the tokenizer file's own normaliser and word splitter,
-so any Unicode text is cut as its library cuts it.  The tokenizer file is read on the driver and sent
+Plain Latin texts are cut into words by a pattern here.  Others are cut at blanks, tabs and line ends, which belong
+to no word and which no normal form joins to a neighbour, and the pieces go through the tokenizer file's own
+normaliser and word splitter, so any Unicode text is cut as its library cuts it.  Words' results are cached (a
+bounded number, per worker).  The tokenizer file is read on the driver and sent
 with the task (a few MB).
 
 Defined results: a NULL text counts as empty, an empty text has no ids; an empty table gives an empty result;
@@ -38,12 +38,21 @@ from .common import Batches, append, quoted
 from .pieces import read_model
 
 TOKENIZER_PATH = "/opt/tokenizers/word_bpe_49k.json"
-CACHE_PIECES = 200_000       # cached pieces of a worker (about 90 MB); the cache starts anew when full
-CACHE_WORDS = 200_000        # cached words of a worker (about 50 MB), likewise
-CACHE_CHARS = 64             # longer pieces are not cached
+CACHE_WORDS = 400_000        # cached words of a worker (about 130 MB); the cache starts anew when full
+CACHE_PIECES = 100_000       # cached cuts of odd pieces (about 30 MB), likewise
+CACHE_CHARS = 64             # longer words and pieces are not cached
+AGENDA_FROM = 64             # symbols from which exact merging keeps an agenda
+NO_MERGE = (1 << 40, -1)
+BYTES, SPECIAL = "\0", "\1"
 NEVER = np.int64(1 << 40)    # later than any merge
-# Words of printable ASCII, as in the tokenizer file's splitter (fixed value).
-ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# Plain texts hold only printable ASCII, tab, line ends, Latin letters of U+00C0..U+017F (but the two signs among them and
+# the dotted capital I, whose small form is two characters) and dashes and quotes of U+2010..U+2027.
+ODD = re.compile("[^ -~\t\n\r\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u2010-\u2027]")
+# Their words, as in the tokenizer file's splitter (fixed values), after lower-casing.
+WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^ \t\n\ra-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+# The letters that stand for bytes in such vocabularies: printable Latin-1 for itself, the others from U+0100 on.
+_ITSELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(b) if b in _ITSELF else chr(256 + b - sum(x < b for x in _ITSELF)) for b in range(256)}
 
 
 class Vocabulary:
@@ -81,15 +90,40 @@ class Vocabulary:
                     self.final[s[:-len(self.end)]] = t
             elif self.merge_exactly([*self.symbols(s, False)]) == [t]:
                 self.inner[s] = t
-        self.longest = max(map(len, [*self.inner, *self.final]), default=0)
+        # by the first two letters, the length of the longest token inside a word
+        self.reach: dict[str, int] = {}
+        for token in self.inner:
+            self.reach[token[:2]] = max(len(token), self.reach.get(token[:2], 0))
 
     def symbols(self, word: str, ends: bool = True) -> list[int]:
         """Single-character tokens of a word; the last one carries the word's end."""
-        chars = [*word[:-1], word[-1] + self.end] if ends else word
-        return [self.ids[c] for c in chars if c in self.ids]
+        ids = self.ids
+        out = [ids[c] for c in word if c in ids]
+        if ends and self.end and out:
+            out[-1] = ids[word[-1] + self.end]
+        return out
 
     def merge_exactly(self, symbols: list[int]) -> list[int]:
-        """Merges lowest rank first, then leftmost, over a linked list with an agenda."""
+        """Merges lowest rank first, then leftmost."""
+        if len(symbols) > AGENDA_FROM:
+            return self._merge_by_agenda(symbols)
+        merged = self.merged
+        pairs = [merged.get(a << 32 | b, NO_MERGE) for a, b in zip(symbols, symbols[1:])]
+        while pairs:
+            best = min(pairs)
+            if best is NO_MERGE:
+                break
+            i = pairs.index(best)
+            symbols[i] = best[1]
+            del symbols[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = merged.get(best[1] << 32 | symbols[i + 1], NO_MERGE)
+            if i:
+                pairs[i - 1] = merged.get(symbols[i - 1] << 32 | best[1], NO_MERGE)
+        return symbols
+
+    def _merge_by_agenda(self, symbols: list[int]) -> list[int]:
+        """The same for long words, over a linked list."""
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda: list[tuple[int, int, int, int]] = []       # rank, place, pair, token
@@ -121,19 +155,18 @@ class Vocabulary:
         whole = self.final.get(word)
         if whole is not None:
             return [whole]
-        out, at, n = [], 0, len(word)
+        out, at, n, inner, final, reach = [], 0, len(word), self.inner, self.final, self.reach
         while at < n:
-            rest = n - at
-            if rest <= self.longest and (t := self.final.get(word[at:])) is not None:
+            if at and (t := final.get(word[at:])) is not None:
                 out.append(t)
                 break
-            for size in range(min(self.longest, rest - 1 if self.end else rest), 0, -1):
-                if (t := self.inner.get(word[at:at + size])) is not None:
-                    out.append(t)
-                    at += size
-                    break
-            else:
+            size = min(reach.get(word[at:at + 2], 1), n - at - 1 if self.end else n - at)
+            while size > 0 and (t := inner.get(word[at:at + size])) is None:
+                size -= 1
+            if size <= 0:
                 return None
+            out.append(t)
+            at += size
         return out
 
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -165,7 +198,7 @@ class Vocabulary:
         sizes = np.array([len(g) if g else 0 for g in guesses], np.int64)
         flat = np.fromiter((t for g in guesses if g for t in g), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(words)), sizes)
-        failed = np.array([g is None for g in guesses], bool)
+        failed = sizes == 0
         if len(flat) > 1:
             inside = np.nonzero(owner[1:] == owner[:-1])[0]
             pairs, which = np.unique(flat[inside] << 32 | flat[inside + 1], return_inverse=True)
@@ -176,58 +209,67 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts piece by piece; ``render`` gives the cached form of a piece's ids."""
+    """Encodes texts; ``render`` gives the forms of a word's ids that are cached."""
 
-    def __init__(self, vocabulary: Vocabulary, render: Callable[[list[int]], object]):
+    def __init__(self, vocabulary: Vocabulary, render: Callable[[list[int]], tuple]):
         from tokenizers import Tokenizer
         self.v, self.render = vocabulary, render
         self.library = Tokenizer.from_str(vocabulary.data.decode("utf-8"))
         self.special = re.compile("(" + "|".join(sorted(map(re.escape, vocabulary.specials), key=len, reverse=True)) + ")") \
             if vocabulary.specials else None
-        self.cache: dict[str, object] = {"": render([])}
-        self.ids_of: dict[str, list[int]] = {}
+        self.forms = len(render([]))
+        self.cache: dict[str, tuple] = {}
+        self.words_of: dict[str, list[str]] = {}
+
+    def words(self, text: str) -> list[str]:
+        """Words in order, as they are cached: a plain text's lower-cased, an odd text's in byte letters after
+        ``BYTES``, and special tokens after ``SPECIAL`` (both marks are odd, so no plain word begins with one)."""
+        if not ODD.search(text) and not (self.special and self.special.search(text)):
+            return WORD.findall(text.lower())
+        out = []
+        for piece in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
+            known = self.words_of.get(piece)
+            if known is None:
+                known = self._split(piece)
+                if len(piece) <= CACHE_CHARS:
+                    self.words_of[piece] = known
+            out += known
+        return out
 
-    def words(self, piece: str) -> list[str | int]:
-        """Words in the vocabulary's alphabet, and ids of special tokens."""
-        out: list[str | int] = []
+    def _split(self, piece: str) -> list[str]:
+        """The words of a piece by the tokenizer file's normaliser and splitter."""
+        out = []
         for part in self.special.split(piece) if self.special else [piece]:
             if part in self.v.specials:
-                out.append(self.v.specials[part])
-            elif part.isascii() and part.isprintable():
-                out += ASCII_WORD.findall(part.lower())
+                out.append(SPECIAL + part)
             else:
                 normal = self.library.normalizer.normalize_str(part)
-                out += [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+                out += [BYTES + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        split = [self.words(p) for p in pieces]
-        if len(self.ids_of) > CACHE_WORDS:
-            self.ids_of = {}
-        new = list({w for ws in split for w in ws if isinstance(w, str) and w not in self.ids_of})
-        found = dict(zip(new, self.v.encode_words(new)[0]))
-        passing = {w: ids for w, ids in found.items() if len(w) > CACHE_CHARS}
-        self.ids_of.update((w, ids) for w, ids in found.items() if len(w) <= CACHE_CHARS)
-        ids = ChainMap(passing, self.ids_of) if passing else self.ids_of
-        return [[t for w in ws for t in (ids[w] if isinstance(w, str) else (w,))] for ws in split]
-
-    def rendered(self, texts: list[str | None]) -> list[list]:
-        """Per text the rendered pieces in order."""
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache = {"": self.render([])}
-        own = self.cache
-        new = list({p for pieces in split for p in pieces if p not in own})
+    def encode(self, words: list[str]) -> dict[str, list[int]]:
+        """Ids of words as ``words`` gives them."""
+        spelled = {w: w if w.isascii() and w[0] > SPECIAL else w[1:] if w[0] == BYTES
+                   else w.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS) for w in words if w[0] != SPECIAL}
+        ids = dict(zip(spelled, self.v.encode_words(list(spelled.values()))[0]))
+        return ids | {w: [self.v.specials[w[1:]]] for w in words if w[0] == SPECIAL}
+
+    def rendered(self, texts: list[str | None]) -> list[tuple[tuple, ...]]:
+        """Per text, for each form, its words' forms in order."""
+        if len(self.words_of) > CACHE_PIECES:
+            self.words_of = {}
+        if len(self.cache) > CACHE_WORDS:
+            self.cache = {}
+        split, cache = [self.words(t) if t else [] for t in texts], self.cache
         passing = {}
-        for p, ids in zip(new, self.encode_pieces(new)):
-            (own if len(p) <= CACHE_CHARS else passing)[p] = self.render(ids)
-        if not passing:
-            return [list(map(own.__getitem__, pieces)) for pieces in split]
-        return [[own[p] if p in own else passing[p] for p in pieces] for pieces in split]
+        for w, ids in self.encode(list(set().union(*split) - cache.keys())).items():
+            (cache if len(w) <= CACHE_CHARS else passing)[w] = self.render(ids)
+        table, nothing = ChainMap(passing, cache) if passing else cache, ((),) * self.forms
+        return [tuple(zip(*map(table.__getitem__, words))) or nothing for words in split]
 
 
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<i4").tobytes()
+def _packed(ids: list[int]) -> tuple[bytes]:
+    return (np.array(ids, "<i4").tobytes(),)
 
 
 @lru_cache(maxsize=2)
@@ -250,7 +292,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "to
     def run(batches: Batches) -> Batches:
         encoder = _worker_encoder(job, (vocabulary, _packed))
         for batch in batches:
-            ids = [b"".join(r) for r in encoder.rendered(batch.column(at).to_pylist())]
+            ids = [b"".join(r) for r, in encoder.rendered(batch.column(at).to_pylist())]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
             yield append(batch, {ids_col: pa.ListArray.from_arrays(pa.array(offsets), flat)})
@@ -274,13 +316,15 @@ def decode_documents(encoded: DataFrame, ids_col: str = "token_ids", text_col: s
 
 
 class _Texts:
-    """Ids as decimal text and the decoded tokens, each followed by a blank."""
+    """Two forms of a word: ids as decimal text and its tokens, each followed by a blank."""
 
     def __init__(self, names: dict[int, str]):
-        self.names = names
+        self.numbers, self.names = {i: f"{i} " for i in names}, {i: f"{s} " for i, s in names.items()}
 
     def __call__(self, ids: list[int]) -> tuple[str, str]:
-        return "".join(f"{i} " for i in ids), "".join(f"{self.names[i]} " for i in ids)
+        if len(ids) == 1:
+            return self.numbers[ids[0]], self.names[ids[0]]
+        return "".join([self.numbers[i] for i in ids]), "".join([self.names[i] for i in ids])
 
 
 def encode_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -294,11 +338,11 @@ def encode_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         encoder = _worker_encoder(job, (vocabulary, _Texts(vocabulary.names)))
         for batch in batches:
             counts, ids_sha, decoded_sha = [], [], []
-            for pieces in encoder.rendered(batch.column(1).to_pylist()):
-                ids = "".join([p[0] for p in pieces])
+            for ids, decoded in encoder.rendered(batch.column(1).to_pylist()):
+                ids = "".join(ids)
                 counts.append(ids.count(" "))
                 ids_sha.append(hashlib.sha256(ids[:-1].encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256("".join([p[1] for p in pieces])[:-1].encode("utf-8")).hexdigest())
+                decoded_sha.append(hashlib.sha256("".join(decoded)[:-1].encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)],
                 names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])

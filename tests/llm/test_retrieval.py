@@ -118,19 +118,25 @@ def test_pairs_are_compatible_exactly_when_merging_keeps_them(vocabulary):
     assert got.tolist() == want and 0.05 < got.mean() < 0.95
 
 
+def one_form(ids):
+    return (list(ids),)
+
+
 def odd_texts():
     rnd = random.Random(2)
     letters = "aaabcdeinstthe's019!?-<|>ÉéßΣσİ́\x1c\x85\xa0　\t\n\r漢한ñ\U0001F600  "
     texts = ["".join(rnd.choices(letters, k=rnd.randint(0, 40))) for _ in range(3000)]
     texts += ["".join(chr(c) for c in (rnd.randint(0, 0xD7FF) for _ in range(6))) for _ in range(2000)]
+    plain = [chr(c) for c in range(0x20, 0x2100) if not wordbpe.ODD.search(chr(c))]
+    texts += ["".join(rnd.choices(plain, k=rnd.randint(1, 30))) for _ in range(3000)] + [f"a{c}A {c} {c}{c}1{c}'s" for c in plain]
     return texts + ["", "a<|endoftext|>b <|startoftext|><|endoftext|>", "<|endoftext|>́x", "ab" * 20_000, "x" * 3000,
                     "…" * 2000, "don't we'll THEY'RE 'S", "\0 a\0b"]
 
 
 def test_encoder_equals_the_library(vocabulary, library):
-    encoder = wordbpe.Encoder(vocabulary, list)
+    encoder = wordbpe.Encoder(vocabulary, one_form)
     texts = odd_texts()
-    got = [[i for p in pieces for i in p] for pieces in encoder.rendered(texts)]
+    got = [[i for p in pieces for i in p] for pieces, in encoder.rendered(texts)]
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -139,15 +145,17 @@ def test_some_words_pass_and_some_need_exact_merging(vocabulary):
     ids, failed = vocabulary.encode_words(words)
     assert 0 < failed < len(words)
     assert ids == [vocabulary.merge_exactly(vocabulary.symbols(w)) for w in words]
+    for word in [*words, "a" * 50, "thethethe" * 6]:          # both ways of merging agree
+        assert vocabulary.merge_exactly(vocabulary.symbols(word)) == vocabulary._merge_by_agenda(vocabulary.symbols(word))
 
 
 def test_full_caches_change_nothing(vocabulary, library, monkeypatch):
     monkeypatch.setattr(wordbpe, "CACHE_PIECES", 50)
     monkeypatch.setattr(wordbpe, "CACHE_WORDS", 30)
-    encoder = wordbpe.Encoder(vocabulary, list)
+    encoder = wordbpe.Encoder(vocabulary, one_form)
     texts = odd_texts()[:600]
     for k in range(0, len(texts), 40):
-        got = [[i for p in pieces for i in p] for pieces in encoder.rendered(texts[k:k + 40])]
+        got = [[i for p in pieces for i in p] for pieces, in encoder.rendered(texts[k:k + 40])]
         assert got == [library.encode(t, add_special_tokens=False).ids for t in texts[k:k + 40]]
 
 
