@@ -139,18 +139,19 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None,
-                written: list[str] | None = None) -> DataFrame:
+                written: list[str] | None = None, spread: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and return
     the re-read table (lineage cut, column pruning and partition pruning).
 
     The ``rebalance`` hint clusters rows by the partition columns before the
     write, and AQE splits oversized and merges small shuffle partitions, so
     each year gets a few right-sized files instead of one small file per
-    task, and a big year does not end up in a single task."""
+    task, and a big year does not end up in a single task.  ``spread`` asks for
+    that many files instead, for a table that many small jobs read."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tarmac-tables/{name}-{uuid.uuid4().hex}"
-    df = df.hint("rebalance", *(partition_by or []))
+    df = df.repartition(spread) if spread else df.hint("rebalance", *(partition_by or []))
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

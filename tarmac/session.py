@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -70,3 +72,17 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         os.makedirs(configured, exist_ok=True)
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python once per application, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tarmac_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tarmac-pyfiles-")) / "tarmac_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(archive))
+    sc._tarmac_shipped = True

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import time
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binning import VOLUME_LABELS
 from ..functions.phases import PHASE_ORDER
+from ..ml.boosting import BoostedModel
 from ..operators.joins import broadcast_limit
 from .schema import CATEGORICAL_FEATURES, NUMERICAL_FEATURES
 
@@ -30,7 +32,7 @@ class Artifacts:
     global_mean: float
     edges: list[float]
     labels: list[str]
-    models: dict[str, PipelineModel] = field(default_factory=dict)
+    models: dict[str, PipelineModel | BoostedModel] = field(default_factory=dict)
     metrics: DataFrame | None = None
     monthly_rows: int | None = None
     overall_rows: int | None = None
@@ -89,10 +91,14 @@ def save_artifacts(path: str, lookups, models: dict | None = None,
         .write.mode("overwrite").parquet(f"{path}/features")
     names = []
     for name, model in (models or {}).items():
-        model.write().overwrite().save(f"{path}/models/{_slug(name)}")
-        names.append((name, _slug(name)))
+        boosted = isinstance(model, BoostedModel)
+        if boosted:
+            model.save(f"{path}/models/{_slug(name)}")
+        else:
+            model.write().overwrite().save(f"{path}/models/{_slug(name)}")
+        names.append((name, _slug(name), "boosted" if boosted else "pipeline"))
     if names:
-        spark.createDataFrame(names, "model string, directory string") \
+        spark.createDataFrame(names, "model string, directory string, kind string") \
             .write.mode("overwrite").parquet(f"{path}/model_index")
     if metrics is not None:
         metrics.write.mode("overwrite").parquet(f"{path}/metrics")
@@ -136,7 +142,8 @@ def load_artifacts(spark: SparkSession, path: str, with_models: bool = True) ->
     models, metrics = {}, None
     if with_models and _exists(spark, f"{path}/model_index"):
         for row in spark.read.parquet(f"{path}/model_index").collect():
-            models[row["model"]] = PipelineModel.load(f"{path}/models/{row['directory']}")
+            load = partial(BoostedModel.load, spark) if row.asDict().get("kind") == "boosted" else PipelineModel.load
+            models[row["model"]] = load(f"{path}/models/{row['directory']}")
     if _exists(spark, f"{path}/metrics"):
         metrics = spark.read.parquet(f"{path}/metrics")
     stats = None
