@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from .common import Batches, quoted, written
 
 SCALE = 256
-SHARD_ROWS = 2048
+SHARD_ROWS = 4096            # a tree is built from the distances of all its rows, 134 MB
 ANCHOR_BLOCK = 512
 PIVOTS = 256                 # rows of the sample that deals rows to shards
 MAX_TASKS = 20_000
@@ -114,8 +114,12 @@ class CoverTree:
         x = points.astype(np.float64)
         lift = np.sqrt(np.maximum(0.0, top_square - (x * x).sum(axis=1)))
         top = top_square ** 0.5
-        # the margin covers the rounding of the distances
-        distance = np.sqrt(np.maximum(0.0, 2 * top_square - 2 * (x @ x.T + np.outer(lift, lift)))) + 1e-5 * top
+        full = np.column_stack((x, lift))
+        distance = full @ full.T
+        distance *= -2.0
+        distance += 2 * top_square
+        np.sqrt(np.maximum(distance, 0.0, out=distance), out=distance)
+        distance += 1e-5 * top                         # covers the rounding
         np.fill_diagonal(distance, 0.0)
         node, radius, child = [int(distance.sum(axis=1).argmin())], [], [1]
         todo = deque([np.arange(len(points))])
