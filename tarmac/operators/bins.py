@@ -1,17 +1,20 @@
 """Quartile edges of the airport baseline, weighted by rows.
 
-The reference takes quantiles over the per-row column, so every airport
+The original takes quantiles over the per-row column, so every airport
 counts once per day it reports.  The same edges come from the airport table
-with the row count as the frequency, which keeps the exact ``percentile``
-aggregate at one entry per airport instead of one per row.
+with the row count as the weight, by radix descent (``quantiles``): no task
+holds the means of all airports.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.binning import VOLUME_LABELS
+from ..sources.literal import literal_table
+from .quantiles import exact_quantiles
 
 QUARTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
 
@@ -33,13 +36,11 @@ def weighted_airport_values(stats: DataFrame, fill: float) -> DataFrame:
 
 
 def volume_bin_table(weighted: DataFrame, probabilities=QUARTILES) -> DataFrame:
-    """One row per requested probability: (edge_index, probability, edge)."""
-    probs = F.array(*[F.lit(float(p)) for p in probabilities])
-    edges = weighted.agg(F.percentile(F.col("value"), probs, F.col("weight")).alias("edges"))
-    return edges.select(F.posexplode("edges").alias("edge_index", "edge")).select(
-        "edge_index",
-        F.element_at(probs, F.col("edge_index") + 1).alias("probability"),
-        "edge")
+    """One row per requested probability: (edge_index, probability, edge); NULL edges without values."""
+    edges = exact_quantiles(weighted, F.col("value"), probabilities, weight=F.col("weight")).get(None)
+    rows = [(i, float(p), None if edges is None else edges[i]) for i, p in enumerate(probabilities)]
+    return literal_table(weighted.sparkSession, [("edge_index", T.IntegerType()), ("probability", T.DoubleType()),
+                                                 ("edge", T.DoubleType())], rows)
 
 
 def volume_bins(weighted: DataFrame, labels=VOLUME_LABELS) -> list[float]:

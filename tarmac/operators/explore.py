@@ -5,13 +5,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.binning import VOLUME_LABELS, volume_levels
 from ..functions.labels import airport_label
 from ..functions.phases import phase_levels
+from ..sources.literal import literal_table
 from ..sources.schema import LOG_TARGET
 from .baselines import OVERALL_COL
 from .joins import lookup_join
+from .quantiles import exact_quantiles
 
 SPREAD_PROBABILITIES = [0.25, 0.5, 0.75]
 
@@ -71,20 +74,12 @@ def log_by_volume(train: DataFrame, labels=VOLUME_LABELS) -> DataFrame:
 
 
 def _spread(train: DataFrame, key: str) -> DataFrame:
-    """min, quartiles (linear interpolation) and max of the log total.
-
-    ``percentile`` is exact; it keeps one counter per distinct value, and the
-    log of a daily count has as many distinct values as the count itself, so
-    the buffers stay small and combine map-side even for one huge group."""
-    x = F.col(LOG_TARGET)
-    probs = F.array(*[F.lit(p) for p in SPREAD_PROBABILITIES])
-    return (train.where(F.col(key).isNotNull() & x.isNotNull())
-            .groupBy(key)
-            .agg(F.min(x).alias("min_log"), F.percentile(x, probs).alias("q"),
-                 F.max(x).alias("max_log"))
-            .select(key, "min_log",
-                    F.col("q")[0].alias("q1_log"), F.col("q")[1].alias("median_log"),
-                    F.col("q")[2].alias("q3_log"), "max_log"))
+    """min, quartiles (linear interpolation) and max of the log total, exact by
+    radix descent: no group's values are gathered anywhere."""
+    found = exact_quantiles(train.where(F.col(key).isNotNull()), F.col(LOG_TARGET), [0.0, *SPREAD_PROBABILITIES, 1.0], by=key)
+    names = ["min_log", "q1_log", "median_log", "q3_log", "max_log"]
+    return literal_table(train.sparkSession, [(key, train.schema[key].dataType), *[(n, T.DoubleType()) for n in names]],
+                         [(k, *values) for k, values in found.items()])
 
 
 def spread_by_dow(train: DataFrame) -> DataFrame:
