@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from ..functions.binning import volume_category
 from ..functions.phases import phase, phase_levels
 from ..functions.numeric import inverse_log, log_target
+from ..ml.least_squares import (correlation_matrix, fit_linear, metrics_by_name, scorecard,
+                                standardized_summary)
 from ..ml.scoring import forecast_context, scoring_features
 from ..operators import explore as X
 from ..operators import summary as S
@@ -25,9 +27,10 @@ from ..operators.bins import volume_bin_table, weighted_airport_values
 from ..operators.joins import lookup_join
 from ..operators.metrics import metric_table
 from ..sources.dims import fixture_coordinates, fixture_country_labels, fixture_requests
-from ..sources.schema import LOG_TARGET, TRAFFIC_COLUMNS
+from ..sources.literal import literal_table
+from ..sources.schema import LOG_TARGET, NUMERICAL_FEATURES, TRAFFIC_COLUMNS
 from ..sources.traffic import fixture_traffic, parse_flight_date
-from .params import CORRELATION_FEATURES, EMPTY_RANGE, END, SPLIT, START
+from .params import CORRELATION_FEATURES, EMPTY_RANGE, END, SPLIT, START, TWO_FEATURES
 from .prepare import PreparedTraffic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -278,6 +281,59 @@ def q_metric_table(spark, sf_dir):
     return rounded(metric_table(scored, "FLT_TOT_1", LOG_TARGET, "baseline_log"))
 
 
+# -- closed-form fits -----------------------------------------------------------
+
+def _terms(spark, terms) -> DataFrame:
+    return literal_table(spark, [("term", T.StringType()), ("coefficient", T.DoubleType())], terms)
+
+
+def q_ols_two_features(spark, sf_dir):
+    """Least squares of the log target on two features, on the columns' own scale."""
+    return rounded(_terms(spark, fit_linear(_train(spark, sf_dir), TWO_FEATURES, [], LOG_TARGET).raw_terms()))
+
+
+def q_ridge_two_features(spark, sf_dir):
+    """Ridge (alpha 1) on the two standardized features."""
+    m = fit_linear(_train(spark, sf_dir), TWO_FEATURES, [], LOG_TARGET, alpha=1.0)
+    return rounded(_terms(spark, [("intercept", m.intercept), *zip(m.numerical, m.coefficients)]))
+
+
+def q_correlation_matrix(spark, sf_dir):
+    """Correlations of all pairs of numeric features and the log target."""
+    return rounded(correlation_matrix(_train(spark, sf_dir), [*CORRELATION_FEATURES, LOG_TARGET]))
+
+
+def _is_train():
+    return F.col("FLT_DATE") < F.lit(SPLIT).cast("date")
+
+
+def q_standardized_features(spark, sf_dir):
+    """Mean and deviation of the standardized features on both splits."""
+    rows = _features(spark, sf_dir).where(F.col("FLT_DATE").isNotNull())
+    return rounded(standardized_summary(rows, _is_train(), NUMERICAL_FEATURES))
+
+
+def _closed_form_scorecard(spark, sf_dir) -> DataFrame:
+    train = _train(spark, sf_dir)
+    rows = _features(spark, sf_dir).where(F.col("FLT_DATE").isNotNull() & F.col("FLT_TOT_1").isNotNull())
+    rows = rows.withColumn("_baseline", log_target(F.col("avg_pre_pandemic_monthly_traffic")))
+    for name, alpha in (("_ols", 0.0), ("_ridge", 1.0)):
+        rows = fit_linear(train, TWO_FEATURES, [], LOG_TARGET, alpha).transform(rows, name)
+    return scorecard(rows, F.when(_is_train(), "train").otherwise("test"),
+                     {"Monthly baseline": F.col("_baseline"), "OLS two features": F.col("_ols"),
+                      "Ridge two features": F.col("_ridge")}, "FLT_TOT_1", LOG_TARGET)
+
+
+def q_closed_form_scorecard(spark, sf_dir):
+    """R2, MAE, RMSE of three models on both splits and scales, from one scan."""
+    return rounded(_closed_form_scorecard(spark, sf_dir))
+
+
+def q_scorecard_by_name(spark, sf_dir):
+    """The metrics of one model, by its name."""
+    return rounded(metrics_by_name(_closed_form_scorecard(spark, sf_dir), "Ridge two features"))
+
+
 # -- scoring ------------------------------------------------------------------
 
 SCORING_COLUMNS = [

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from ..functions.phases import PHASE_ORDER
 from ..sources.dims import REQUEST_DATES, UNKNOWN_AIRPORT_PREFIX
-from .params import CORRELATION_FEATURES, EMPTY_RANGE, END, REF_END, REF_START, SPLIT, START
+from ..sources.schema import NUMERICAL_FEATURES
+from .params import CORRELATION_FEATURES, EMPTY_RANGE, END, REF_END, REF_START, SPLIT, START, TWO_FEATURES
 
 
 def _phase_case(year: str = "YEAR", month: str = "MONTH_NUM") -> str:
@@ -26,6 +27,7 @@ def _phase_case(year: str = "YEAR", month: str = "MONTH_NUM") -> str:
       ELSE 'Other' END"""
 
 
+CLOSED_FORM = ["Monthly baseline", "OLS two features", "Ridge two features"]
 PHASE_LEVELS = "(VALUES " + ", ".join(
     f"({i + 1}, '{label}')" for i, label in enumerate(PHASE_ORDER)) + ") AS pl(phase_rank, pandemic_phase)"
 VOLUME_LEVELS = ("(VALUES (1, 'Small'), (2, 'Medium'), (3, 'Large'), (4, 'Very Large'))"
@@ -166,9 +168,9 @@ def _compact(x: str) -> str:
             ELSE CAST({x} AS VARCHAR) END"""
 
 
-def _metric_rows() -> str:
+def _metric_rows(splits=("train", "test")) -> str:
     parts = []
-    for split in ("train", "test"):
+    for split in splits:
         for scale, n, var, sse, sae in (
                 ("log_scale", "ln_n", "ln_var", "ln_sse", "ln_sae"),
                 ("original_scale", "o_n", "o_var", "o_sse", "o_sae")):
@@ -396,6 +398,53 @@ s AS (SELECT split, CAST(COUNT(*) AS DOUBLE) AS ln_n, var_pop(yl) AS ln_var,
              SUM((y - p) * (y - p)) AS o_sse, SUM(abs(y - p)) AS o_sae
       FROM sc GROUP BY 1)
 {_metric_rows()}"""
+    a, b = TWO_FEATURES
+    two = f""",
+u AS (SELECT CAST({a} AS DOUBLE) AS x1, CAST({b} AS DOUBLE) AS x2, ln(1 + FLT_TOT_1) AS y FROM train WHERE FLT_TOT_1 IS NOT NULL),
+o AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS v1, var_pop(x2) AS v2,
+             covar_pop(x1, x2) AS v12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM u),
+ols AS (SELECT *, (v2 * c1 - v12 * c2) / (v1 * v2 - v12 * v12) AS w1, (v1 * c2 - v12 * c1) / (v1 * v2 - v12 * v12) AS w2 FROM o),
+rr AS (SELECT *, 1 + 1 / n AS d, v12 / sqrt(v1 * v2) AS r, c1 / sqrt(v1) AS g1, c2 / sqrt(v2) AS g2 FROM o),
+ridge AS (SELECT *, (d * g1 - r * g2) / (d * d - r * r) AS w1, (d * g2 - r * g1) / (d * d - r * r) AS w2 FROM rr)"""
+    q["ols_two_features"] = BASE + two + f"""
+SELECT 'intercept' AS term, round(my - w1 * m1 - w2 * m2, 6) AS coefficient FROM ols
+UNION ALL SELECT '{a}', round(w1, 6) FROM ols UNION ALL SELECT '{b}', round(w2, 6) FROM ols"""
+    q["ridge_two_features"] = BASE + two + f"""
+SELECT 'intercept' AS term, round(my, 6) AS coefficient FROM ridge
+UNION ALL SELECT '{a}', round(w1, 6) FROM ridge UNION ALL SELECT '{b}', round(w2, 6) FROM ridge"""
+    card = two + f""",
+each AS (SELECT CASE WHEN FLT_DATE < DATE '{SPLIT}' THEN 'train' ELSE 'test' END AS split, ln(1 + FLT_TOT_1) AS yl,
+                CAST(FLT_TOT_1 AS DOUBLE) AS y,
+                unnest([{{'model': 'Monthly baseline', 'pl': ln(1 + avg_pre_pandemic_monthly_traffic)}},
+                        {{'model': 'OLS two features',
+                          'pl': ols.my + ols.w1 * ({a} - ols.m1) + ols.w2 * ({b} - ols.m2)}},
+                        {{'model': 'Ridge two features',
+                          'pl': ols.my + ridge.w1 * ({a} - ols.m1) / sqrt(ols.v1)
+                                + ridge.w2 * ({b} - ols.m2) / sqrt(ols.v2)}}]) AS e
+         FROM feat, ols, ridge WHERE FLT_DATE IS NOT NULL AND FLT_TOT_1 IS NOT NULL),
+sc AS (SELECT e.model || '|' || split AS split, yl, e.pl AS pl, y, greatest(0.0, exp(e.pl) - 1) AS p FROM each),
+s AS (SELECT split, CAST(COUNT(*) AS DOUBLE) AS ln_n, var_pop(yl) AS ln_var,
+             SUM((yl - pl) * (yl - pl)) AS ln_sse, SUM(abs(yl - pl)) AS ln_sae,
+             CAST(COUNT(*) AS DOUBLE) AS o_n, var_pop(y) AS o_var,
+             SUM((y - p) * (y - p)) AS o_sse, SUM(abs(y - p)) AS o_sae
+      FROM sc GROUP BY 1),
+card AS ({_metric_rows([f'{m}|{x}' for m in CLOSED_FORM for x in ('train', 'test')])})
+SELECT split_part(split, '|', 1) AS model, split_part(split, '|', 2) AS split, scale, metric, value FROM card"""
+    q["closed_form_scorecard"] = BASE + card
+    q["scorecard_by_name"] = BASE + card + " WHERE split LIKE 'Ridge two features|%'"
+    names = [*CORRELATION_FEATURES, "FLT_TOT_1_log"]
+    pair = ", ".join(f"{{'feature_a': '{x}', 'feature_b': '{y}', 'r': corr(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE))}}"
+                     for x in names for y in names)
+    q["correlation_matrix"] = BASE + f""",
+c AS (SELECT unnest([{pair}]) AS e FROM train)
+SELECT e.feature_a AS feature_a, e.feature_b AS feature_b, round(e.r, 6) AS correlation FROM c"""
+    parts = [f"""SELECT '{c}' AS feature, split, round((avg(CAST({c} AS DOUBLE)) - any_value(t.m)) / any_value(t.s), 6) + 0.0 AS mean_z,
+       round(stddev_pop(CAST({c} AS DOUBLE)) / any_value(t.s), 6) + 0.0 AS std_z
+FROM sp, (SELECT avg(CAST({c} AS DOUBLE)) AS m, stddev_pop(CAST({c} AS DOUBLE)) AS s FROM train) t GROUP BY split"""
+             for c in NUMERICAL_FEATURES]
+    q["standardized_features"] = BASE + f""",
+sp AS (SELECT *, CASE WHEN FLT_DATE < DATE '{SPLIT}' THEN 'train' ELSE 'test' END AS split FROM feat WHERE FLT_DATE IS NOT NULL)
+""" + "\nUNION ALL\n".join(parts)
     scoring = f""",
 ac AS (SELECT APT_ICAO, MIN(STATE_NAME) AS STATE_NAME FROM traffic WHERE APT_ICAO IS NOT NULL GROUP BY 1),
 r AS (SELECT airport AS APT_ICAO, flt_date AS FLT_DATE,

@@ -10,3 +10,4 @@ REF_START, REF_END = "2019-01-01", "2019-01-31"
 SPLIT = SPLIT_DATE
 CORRELATION_FEATURES = list(EARLIER_NUMERICAL_FEATURES)
 EMPTY_RANGE = ("2015-01-01", "2015-01-31")   # before the first day of the fixture
+TWO_FEATURES = ["is_weekend", "avg_pre_pandemic_monthly_traffic"]   # of the closed-form fits
