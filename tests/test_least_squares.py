@@ -67,13 +67,14 @@ def test_missing_unknown_and_too_wide(spark, monkeypatch, tmpdir_path):
 
 
 def test_equal_to_the_ml_pipelines(planted):
-    """The same predictions as Spark ML's indexer, encoder and solver."""
+    """The same predictions as Spark ML's indexer, encoder and solver.  Without a penalty only on the fitted rows: levels
+    unseen in training leave the span of the design, where least squares has no unique answer."""
     for fit, num, cat, alpha in ((TR.fit_ridge, NUMERICAL_FEATURES, CATEGORICAL_FEATURES, 1.0),
                                  (TR.fit_ols, EARLIER_NUMERICAL_FEATURES, EARLIER_CATEGORICAL_FEATURES, 0.0)):
         train, test = TR.splits(planted)
         model = L.fit_linear(train, num, cat, LOG_TARGET, alpha)
         want = fit(planted).model
-        for rows in (train, test):
+        for rows in (train, test) if alpha else (train,):
             a, b = (m.transform(rows).orderBy("APT_ICAO", "FLT_DATE").toPandas().prediction.to_numpy() for m in (model, want))
             np.testing.assert_allclose(a, b, atol=1e-6)
 
