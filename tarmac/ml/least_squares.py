@@ -186,11 +186,15 @@ def correlation_matrix(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     columns = list(columns)
     x = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = rows.agg(*[F.corr(x[a], x[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
+    aggs = []           # not ``corr``, which divides by the zero deviation of a constant column
+    for i, (a, b) in enumerate(pairs):
+        aggs += [F.covar_pop(x[a], x[b]).alias(f"c{i}"), F.stddev_pop(F.when(x[b].isNotNull(), x[a])).alias(f"a{i}"),
+                 F.stddev_pop(F.when(x[a].isNotNull(), x[b])).alias(f"b{i}")]
+    row = rows.agg(*aggs).first()
     found = {}
     for i, (a, b) in enumerate(pairs):
-        r = row[f"r{i}"]
-        found[a, b] = found[b, a] = None if r is None or r != r else r
+        size = (row[f"a{i}"] or 0.0) * (row[f"b{i}"] or 0.0)
+        found[a, b] = found[b, a] = row[f"c{i}"] / size if size else None
     return literal_table(rows.sparkSession, [("feature_a", T.StringType()), ("feature_b", T.StringType()),
                                              ("correlation", T.DoubleType())], [(a, b, found[a, b]) for a in columns for b in columns])
 
