@@ -6,13 +6,15 @@ mentions in the same text.  Phone numbers begin with "+" or have the forms (555)
 555-123-4567 and 555.123.4567, the latter two also with a leading 1.  A number-like entity goes
 through a keyed Feistel permutation over the characters of its own classes (digit, lower, upper, by
 script), so its format, script and length stay and different originals of one format get different
-surrogates; card numbers keep their issuer digit and their Luhn status.  A name part gets a name of the
-honorific's gender and of its own script.
+surrogates; card numbers keep their issuer digit and their Luhn status.  A letter beyond the known alphabets
+becomes a letter of its own script.  A name part gets a name of the honorific's gender and of its own script; a
+title without gender takes that of the same name's other mentions in the text.  Names in scripts without letter
+case, and names without any honorific in the text, are not found.
 
 Coreference and distinctness are global: every distinct entity of the corpus is one row; a surrogate
 that is itself an entity of the corpus, or that two originals share, is drawn again with the next
-attempt number until no collision is left; drawn names grow with the attempts, so a few rounds settle
-any number of names.  As surrogates are functions of (key, entity, attempt),
+attempt number until no collision is left; values grow with the attempts, so a few rounds settle
+any number of them, and a value without a character that can vary is composed anew.  As surrogates are functions of (key, entity, attempt),
 documents are rewritten in one pass that needs only the few entities with attempt > 0, broadcast
 while counted small, else joined per document.
 
@@ -24,19 +26,23 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
+import unicodedata
 from bisect import bisect
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Batches, quoted, texts, written
 
-KEY = b"tarmac surrogate key"
+KEY = b"tarmac surrogate key"   # for tests of single functions; ``replace_entities`` never uses it by itself
+KEY_CONF = "tarmac.surrogates.key"
 BROADCAST_EXCEPTIONS = 100_000
-MAX_ROUNDS = 40
+GROW_FROM = 4                # attempts with a value's own length
+CROWDED_FROM = 12            # the same for numbers
 LIST_ATTEMPTS = 4            # attempts that take a given name as it is in the list
 
 # Honorifics and the gender they tell.
@@ -129,6 +135,12 @@ def detect(text: str) -> list[Entity]:
                 begin += len(words[0]) + 1
             found.append((begin, begin + len(words[-1]), "surname", words[-1].casefold()))
     out = _apart(found)
+    # one person under several honorifics: a title that tells no gender takes that of the name's other mentions
+    told: dict[str, str] = {}
+    for _, _, kind, canonical in out:
+        if kind in ("given-m", "given-f"):
+            told.setdefault(canonical, kind)
+    out = [(b, e, told.get(c, k) if k == "given-n" else k, c) for b, e, k, c in out]
     parts: dict[str, str] = {}
     for _, _, kind, canonical in out:
         if kind == "surname" or kind.startswith("given-"):
@@ -162,7 +174,13 @@ def _draw(key: bytes, *parts) -> int:
 
 @lru_cache(maxsize=4096)
 def _alphabet(char: str) -> str:
-    return next((a for a in ALPHABETS if char in a), "")
+    """The characters that may stand for ``char``: its alphabet, or for a letter of another script those of the same
+    category among its 64 neighbours; none for anything else."""
+    known = next((a for a in ALPHABETS if char in a), "")
+    if known or not char.isalpha():
+        return known
+    first, kind = ord(char) & ~63, unicodedata.category(char)
+    return "".join(c for c in map(chr, range(first, first + 64)) if unicodedata.category(c) == kind)
 
 
 def permute(value: str, key: bytes, tweak: str, first: str | None = None, rounds: int = 6,
@@ -203,11 +221,43 @@ def _luhn_digit(digits: str) -> int:
 
 
 def script_of(word: str) -> str:
-    return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "greek" if "Ͱ" <= word[0] <= "Ͽ" else "latin"
+    """The script of a name's lists, or "" for a script without one."""
+    return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "greek" if "Ͱ" <= word[0] <= "Ͽ" else "latin" if word[0] < "ɐ" else ""
+
+
+def _letters(key: bytes, n: int, alphabet: str, *parts) -> str:
+    """``n`` keyed characters of an alphabet."""
+    return "".join(alphabet[_draw(key, *parts, i) % len(alphabet)] for i in range(n))
 
 
 def surrogate(kind: str, canonical: str, attempt: int, key: bytes = KEY) -> str:
-    """Canonical form of the replacement; another one for every attempt."""
+    """Canonical form of the replacement; another one for every attempt.
+
+    After ``GROW_FROM`` attempts, or when no character of a value can vary, it is composed anew and gets longer
+    with every attempt, so some attempt is free however many values there are."""
+    more = attempt - GROW_FROM + 1
+    if kind == "email":
+        local, _, domain = canonical.rpartition("@")
+        if more > 0 or not any(len(_alphabet(c)) > 1 for c in local):
+            domain = _first_surrogate(kind, "a@" + domain, attempt, key).partition("@")[2]
+            return _letters(key, 6 + max(0, more), ALPHABETS[1], kind, canonical, attempt) + "@" + domain
+    elif kind == "token":
+        if more > 0 or not any(len(_alphabet(c)) > 1 for c in canonical):
+            hexadecimal = re.fullmatch("[0-9a-f]+", canonical)
+            return _letters(key, max(8, len(canonical)) + max(0, more), "0123456789abcdef" if hexadecimal else ALPHABETS[1] + ALPHABETS[0],
+                            kind, canonical, attempt)
+    elif kind == "surname" or kind.startswith("given-"):
+        if not script_of(canonical):        # a script without lists: letters of its own
+            return permute(canonical, key, f"{kind}|{attempt}") + (
+                _letters(key, more, _alphabet(canonical[0]), kind, canonical, attempt) if more > 0 else "")
+    elif attempt >= CROWDED_FROM:            # numbers keep their format as long as it has room
+        return _first_surrogate(kind, canonical, attempt, key) + ("." if kind == "ip" else "") \
+            + _letters(key, attempt - CROWDED_FROM + 1, ALPHABETS[0], kind, canonical, attempt)
+    return _first_surrogate(kind, canonical, attempt, key)
+
+
+def _first_surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
+    """The replacement of the value's own length and format (names grow by syllables)."""
     tweak = f"{kind}|{attempt}"
     if kind == "card":
         body = canonical[0] + permute(canonical[1:-1], key, tweak)
@@ -260,7 +310,7 @@ def restore(kind: str, original: str, canonical: str) -> str:
     """The surrogate in the format of the mention: separators and letter case as there."""
     if kind in ("phone", "card", "ssn", "iban"):
         rest = iter(canonical.lstrip("+"))
-        return "".join(next(rest, "") if c.isalnum() else c for c in original)
+        return "".join(next(rest, "") if c.isalnum() else c for c in original) + "".join(rest)
     if kind == "surname" or kind.startswith("given-"):
         return canonical.upper() if original.isupper() else canonical[0].upper() + canonical[1:]
     if kind == "email" and original.isupper():
@@ -291,7 +341,7 @@ def settle(found: DataFrame, key: bytes = KEY) -> DataFrame:
     pool = F.when(F.col("kind").startswith("given-"), F.lit("given")).otherwise(F.col("kind"))
     originals = found.select(pool.alias("_pool"), F.col("canonical").alias("_original")).distinct()
     state = written(found.withColumn("attempt", F.lit(0)).mapInArrow(drawn, shape), "drawn")
-    for _ in range(MAX_ROUNDS):
+    while True:     # ends, as surrogates get longer with the attempts
         pooled = state.withColumn("pool", pool)
         taken = pooled.join(originals, (F.col("pool") == F.col("_pool")) & (F.col("surrogate") == F.col("_original")), "left_semi")
         keeper = (pooled.groupBy("pool", "surrogate").agg(F.min(F.struct("attempt", "kind", "canonical")).alias("k"),
@@ -307,7 +357,6 @@ def settle(found: DataFrame, key: bytes = KEY) -> DataFrame:
         redrawn = (state.join(again, same, "left_semi").select("kind", "canonical", (F.col("attempt") + 1).alias("attempt"))
                    .mapInArrow(drawn, shape))
         state = written(state.join(again, same, "left_anti").unionByName(redrawn), "drawn")
-    raise ValueError(f"surrogates still collide after {MAX_ROUNDS} rounds")
 
 
 def rewrite(text: str, attempts: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str, int]:
@@ -320,9 +369,17 @@ def rewrite(text: str, attempts: dict[tuple[str, str], int], key: bytes = KEY) -
     return ("".join(out) + text[at:], n) if n else (text, 0)
 
 
-def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY,
+def secret_key(spark: SparkSession) -> bytes:
+    """The session's ``tarmac.surrogates.key``; without one a random key, which nobody can use to undo the surrogates
+    and no later run repeats."""
+    given = spark.conf.get(KEY_CONF, None)
+    return given.encode("utf-8") if given else secrets.token_bytes(32)
+
+
+def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes | None = None,
                      broadcast_limit: int = BROADCAST_EXCEPTIONS) -> DataFrame:
-    """One row per document: id, ``n_entities``, ``text`` with surrogates."""
+    """One row per document: id, ``n_entities``, ``text`` with surrogates.  ``key`` None takes ``secret_key``."""
+    key = secret_key(docs.sparkSession) if key is None else key
     rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     exceptions = written(settle(written(entities(rows), "entities"), key), "exceptions")
     small = exceptions.count() <= broadcast_limit
