@@ -270,25 +270,42 @@ def test_passages_are_found_and_clean_documents_left(docs):
 
 
 def test_chain_scores_equal_quadratic_search():
+    """Every match's score against trying all predecessors; scores of chains far longer than the reach too."""
     rng = np.random.default_rng(9)
-    for _ in range(30):
-        n = int(rng.integers(1, 25))
-        a, b = rng.integers(0, 60, n), rng.integers(0, 60, n)
+    cost, words = passages.GAP_COST, passages.SHORT_WORDS
+    linked = 0
+    for trial in range(200):
+        n, width = int(rng.integers(1, 60)), int(rng.choice([40, 200, 600]))
+        a = rng.integers(0, width, n)
+        b = np.where(rng.random(n) < 0.6, a + rng.integers(-3, 4, n) + 50, rng.integers(0, width, n) + 50)
         keep = np.unique(np.stack([a, b], 1), axis=0, return_index=True)[1]
-        a, b, size = a[keep], b[keep], np.full(len(keep), 5)
-        best = passages.chain(a, b, size)[0]
-        score = [5.0] * len(a)
-        for i in sorted(range(len(a)), key=lambda k: (b[k], a[k])):
-            for j in range(len(a)):
-                if a[j] < a[i] and b[j] < b[i]:
-                    gap = (a[i] - a[j]) + (b[i] - b[j])
-                    if score[j] - passages.GAP_COST * gap > 0:
-                        score[i] = max(score[i], score[j] - passages.GAP_COST * gap + min(5, a[i] - a[j], b[i] - b[j]))
-        assert all(a[x] < a[y] and b[x] < b[y] for x, y in zip(best, best[1:]))
-        total = 5.0
-        for x, y in zip(best, best[1:]):
-            total += -passages.GAP_COST * ((a[y] - a[x]) + (b[y] - b[x])) + min(5, a[y] - a[x], b[y] - b[x])
-        assert total >= 0.6 * max(score)
+        a, b = a[keep], b[keep]
+        size = rng.choice([4, 4, 5, 12, 36], len(a))
+        score, back = passages.chain_scores(a, b, size)
+        for i in range(len(a)):
+            worth = {j: min(score[j], passages.PASSED_ON) - cost * (a[i] - (a[j] + size[j] - words) + b[i] - (b[j] + size[j] - words))
+                     for j in range(len(a)) if a[j] + size[j] - words < a[i] and b[j] + size[j] - words < b[i]}
+            best = max(worth.values(), default=0.0)
+            if best <= 1e-9:
+                assert back[i] == -1 and score[i] == size[i] or best > -1e-9
+                continue
+            j = back[i]
+            linked += 1
+            assert abs(worth[j] - best) < 1e-9
+            fresh = min(size[i], size[i] + a[i] - a[j] - size[j], size[i] + b[i] - b[j] - size[j])
+            gap = a[i] - (a[j] + size[j] - words) + b[i] - (b[j] + size[j] - words)
+            assert fresh > 0 and abs(score[i] - (score[j] - cost * gap + fresh)) < 1e-9
+        paths = passages.chain(a, b, size)
+        assert sorted(x for p in paths for x in p.tolist()) == list(range(len(a)))
+        for p in paths:
+            assert (np.diff(a[p]) > 0).all() and (np.diff(b[p]) > 0).all()
+    assert linked > 1000
+
+
+def test_long_chains_stay_whole():
+    a = np.arange(0, 4000, 10)
+    got = passages.chain(a, a + 3, np.full(len(a), 5))
+    assert len(got) == 1 and got[0].tolist() == list(range(len(a)))
 
 
 def test_second_passage_of_a_pair_is_chained_on_its_own():
