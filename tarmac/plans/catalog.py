@@ -26,10 +26,11 @@ from ..operators.baselines import OVERALL_COL, baseline_monthly, baseline_overal
 from ..operators.bins import volume_bin_table, weighted_airport_values
 from ..operators.joins import lookup_join
 from ..operators.metrics import metric_table
+from ..sources.checked import check_traffic
 from ..sources.dims import fixture_coordinates, fixture_country_labels, fixture_requests
 from ..sources.literal import literal_table
 from ..sources.schema import LOG_TARGET, NUMERICAL_FEATURES, TRAFFIC_COLUMNS
-from ..sources.traffic import fixture_traffic, parse_flight_date
+from ..sources.traffic import fixture_raw, fixture_traffic, parse_flight_date
 from .params import CORRELATION_FEATURES, EMPTY_RANGE, END, SPLIT, START, TWO_FEATURES
 from .prepare import PreparedTraffic
 
@@ -281,6 +282,34 @@ def q_metric_table(spark, sf_dir):
     return rounded(metric_table(scored, "FLT_TOT_1", LOG_TARGET, "baseline_log"))
 
 
+# -- checked reading ------------------------------------------------------------
+
+def _spelled(spark, sf_dir) -> DataFrame:
+    """The raw fixture rows as a file would hold them: text, with several spellings of dates and numbers."""
+    raw = fixture_raw(spark, sf_dir)
+    day = F.dayofmonth("FLT_DATE")
+    date = (F.when(day % 5 == 1, F.date_format("FLT_DATE", "dd/MM/yyyy")).when(day % 5 == 2, F.date_format("FLT_DATE", "dd MMM yyyy"))
+            .when(day == 13, "the 13th").otherwise(F.date_format("FLT_DATE", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    total = F.when(day == 28, F.concat(F.col("FLT_TOT_1"), F.lit(" flights"))).when(day == 29, F.lit("")) \
+        .otherwise(F.concat(F.col("FLT_TOT_1"), F.lit(".0")))
+    return raw.select(*[c for c in raw.columns if c not in ("FLT_DATE", "FLT_TOT_1")], date.alias("FLT_DATE"), total.alias("FLT_TOT_1"))
+
+
+def _checked(spark, sf_dir):
+    return check_traffic(_spelled(spark, sf_dir), ["dd/MM/yyyy", "dd MMM yyyy"], max_reject_rate=0.2)
+
+
+def q_checked_scan(spark, sf_dir):
+    """Accepted rows of a file of mixed spellings, per year."""
+    return (_checked(spark, sf_dir).traffic.groupBy("YEAR").agg(F.count(F.lit(1)).alias("rows"), F.count("FLT_TOT_1").alias("with_total"),
+                                                               F.sum("FLT_TOT_1").alias("total"), F.min("FLT_DATE").alias("first_day")))
+
+
+def q_rejected_rows(spark, sf_dir):
+    """The rejects of the same file, by reason."""
+    return _checked(spark, sf_dir).reason_table()
+
+
 # -- closed-form fits -----------------------------------------------------------
 
 def _terms(spark, terms) -> DataFrame:

@@ -398,6 +398,13 @@ s AS (SELECT split, CAST(COUNT(*) AS DOUBLE) AS ln_n, var_pop(yl) AS ln_var,
              SUM((y - p) * (y - p)) AS o_sse, SUM(abs(y - p)) AS o_sae
       FROM sc GROUP BY 1)
 {_metric_rows()}"""
+    q["checked_scan"] = BASE + """
+SELECT YEAR, COUNT(*) AS rows, COUNT(*) FILTER (WHERE day(FLT_DATE) <> 29) AS with_total,
+       CAST(SUM(FLT_TOT_1) FILTER (WHERE day(FLT_DATE) <> 29) AS BIGINT) AS total, MIN(FLT_DATE) AS first_day
+FROM traffic WHERE day(FLT_DATE) NOT IN (13, 28) GROUP BY YEAR"""
+    q["rejected_rows"] = BASE + """
+SELECT CASE WHEN day(FLT_DATE) = 13 THEN 'FLT_DATE: no date' ELSE 'FLT_TOT_1: no whole number' END AS reason, COUNT(*) AS rows
+FROM traffic WHERE day(FLT_DATE) IN (13, 28) GROUP BY 1"""
     a, b = TWO_FEATURES
     two = f""",
 u AS (SELECT CAST({a} AS DOUBLE) AS x1, CAST({b} AS DOUBLE) AS x2, ln(1 + FLT_TOT_1) AS y FROM train WHERE FLT_TOT_1 IS NOT NULL),

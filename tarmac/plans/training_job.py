@@ -13,7 +13,8 @@ from pyspark.sql import SparkSession
 
 from ..ml import training as TR
 from ..sources.artifacts import save_artifacts
-from ..sources.traffic import fixture_traffic, read_traffic_csv, read_traffic_parquet, scan_traffic
+from ..sources.checked import MAX_REJECT_RATE, read_traffic_checked
+from ..sources.traffic import fixture_traffic, read_traffic_parquet, scan_traffic
 from .prepare import prepare
 
 
@@ -38,10 +39,14 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--gbt-rounds", type=int, default=20)
     ap.add_argument("--validation", choices=["holdout", "test"], default="holdout")
+    ap.add_argument("--date-format", action="append", default=[], help="of the CSV's dates, tried after ISO; may be repeated")
+    ap.add_argument("--max-reject-rate", type=float, default=MAX_REJECT_RATE, help="share of CSV rows that may fail to parse")
     args = ap.parse_args(argv)
     spark = build_session(app="tarmac-training")
     if args.csv:
-        traffic = scan_traffic(read_traffic_csv(spark, args.csv))
+        checked = read_traffic_checked(spark, args.csv, args.date_format, args.max_reject_rate)
+        print(f"{checked.rows} rows, {checked.rejected} rejected: {checked.reasons}")
+        traffic = checked.traffic
     elif args.parquet:
         traffic = scan_traffic(read_traffic_parquet(spark, args.parquet))
     else:
