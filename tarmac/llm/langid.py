@@ -4,7 +4,7 @@ The text is lower-cased, encoded as UTF-8 and cut into windows of ``WINDOW`` byt
 cover it whole.  Filters of widths 2, 3 and 4 slide over the bytes; ReLU, max pooling over the
 window and a softmax give the window's language probabilities, and the document's are their mean,
 weighted by the bytes of each window.  The network is trained in numpy on the driver from a bounded
-sample of labelled rows (``MAX_TRAIN_ROWS`` rows, ``TRAIN_WINDOWS`` windows of each); prediction
+sample of labelled rows (``MAX_TRAIN_ROWS`` rows, all their windows); prediction
 runs in Arrow batches where byte-pair tables replace the multiplications.
 
 Defined results: a NULL text or one without a letter is ``und`` with score 0; without any labelled
@@ -28,8 +28,7 @@ from .common import Batches, crc_mod, quoted, texts
 WIDTHS = (2, 3, 4)
 FILTERS = 8                  # of each width
 WINDOW = 192                 # byte positions of one window
-MAX_TRAIN_ROWS = 2000        # bound of the labelled sample
-TRAIN_WINDOWS = 4            # windows of a sampled row, at hashed places over its whole length
+MAX_TRAIN_ROWS = 500         # bound of the labelled sample, of which all windows are learned
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 SEED = 42
 CHUNK = 1 << 20              # bytes convolved at once: bounds a worker's memory
@@ -126,22 +125,23 @@ def cut_windows(data: np.ndarray, starts: list[int]) -> np.ndarray:
 def fit(docs: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
         max_rows: int = MAX_TRAIN_ROWS, seed: int = SEED) -> Network | None:
     """Train on the rows of ``fold`` with a label and a letter in the text: the ``max_rows`` with the
-    smallest keyed hash, of each the same few windows, which is all that reaches the driver."""
+    smallest keyed hash (rows of equal id, length and label count once), with all their windows, which is all that
+    reaches the driver.  A count tells below which hash those rows lie, so no other text leaves its task."""
     rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"),
                        quoted(label_col).cast("string").alias("label"), fold.alias("_fold"))
-    sample = (rows.where(F.col("_fold") & F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
-              .select("text", "label", F.xxhash64(F.lit(seed), "id", F.length("text")).alias("_key"))
-              .orderBy("_key", "label", "text").limit(max_rows))
+    eligible = (rows.where(F.col("_fold") & F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
+                .select("text", "label", F.xxhash64(F.lit(seed), "id", F.length("text")).alias("_key")))
+    share = min(1.0, (1.2 * max_rows + 200) / max(1, eligible.count()))
+    few = eligible.where(F.col("_key") <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))))
+    sample = (few.groupBy("_key", "label").agg(F.min("text").alias("text")).select("text", "label", "_key")
+              .orderBy("_key", "label").limit(max_rows))
 
     def windows(batches: Batches) -> Batches:
         for batch in batches:
             out, names = [], []
-            keys = batch.column(2).to_pylist()
-            for text, label, key in zip(texts(batch), batch.column(1).to_pylist(), keys):
+            for text, label in zip(texts(batch), batch.column(1).to_pylist()):
                 data = encode(text)
-                rng = np.random.default_rng(key & (2 ** 63 - 1))
-                starts = [0] if len(data) <= WINDOW else rng.integers(0, len(data) - WINDOW, TRAIN_WINDOWS).tolist()
-                for w in cut_windows(data, starts):
+                for w in cut_windows(data, list(range(0, max(1, len(data)), WINDOW))):
                     out.append(w.tobytes())
                     names.append(label)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(names, pa.string())], names=["w", "label"])

@@ -27,7 +27,6 @@ from .common import Batches, quoted, texts
 DIMS_BITS = 15
 BYTE_GRAMS = (3, 5)
 MAX_TRAIN_ROWS = 2000        # bound of the labelled sample
-TRAIN_GRAMS = 4096           # n-grams of each kind from a sampled row, spread over its whole length
 EPOCHS, RATE, L2 = 60, 0.05, 1e-4
 SCALE = 50.0                 # frequencies are small; a fixed factor keeps the weights of order one
 SEED = 42
@@ -176,13 +175,15 @@ def platt(z: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", max_rows: int = MAX_TRAIN_ROWS, seed: int = SEED) -> Model | None:
-    """Train on the ``max_rows`` labelled rows with the smallest keyed hash.  Only their feature
-    counts reach the driver."""
+    """Train on the ``max_rows`` labelled rows with the smallest keyed hash, each with one document (of documents that
+    share its id the smallest text).  Only their feature counts reach the driver: at most as many as
+    there are buckets for each row."""
     marked = labels.select(quoted(id_col).alias("_id"), quoted(label_col).cast("int").alias("label")).where("label in (0, 1)") \
         .select("_id", "label", F.xxhash64(F.lit(seed), "_id").alias("_key"))
     chosen = marked.orderBy("_key", "label").limit(max_rows)
     rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
-    sample = rows.join(F.broadcast(chosen), F.col("id") == F.col("_id")).select("text", "label", "_key")
+    sample = (rows.join(F.broadcast(chosen), F.col("id") == F.col("_id")).groupBy("_key", "label")
+              .agg(F.min("text").alias("text")).select("text", "label", "_key"))
 
     def features(batches: Batches) -> Batches:
         for batch in batches:
@@ -190,12 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for text in texts(batch):
                 *_, raw, hashes = base_figures(text)
                 own, n = np.unique(buckets(raw, hashes), return_counts=True)
-                if len(own) > TRAIN_GRAMS:       # of a long text the more frequent ones, for the fit only
-                    top = np.argsort(-n, kind="stable")[:TRAIN_GRAMS]
-                    own, n, total = own[top], n[top], n.sum()
-                else:
-                    total = max(1, n.sum())
-                out.append((own.astype(np.int32).tobytes(), (n / total).astype(np.float32).tobytes()))
+                out.append((own.astype(np.int32).tobytes(), (n / max(1, n.sum())).astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary()),
                                               batch.column(1), batch.column(2)], names=["at", "share", "label", "key"])
     got = sample.mapInArrow(features, "at binary, share binary, label int, key long").toArrow().to_pylist()

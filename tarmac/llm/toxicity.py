@@ -141,6 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_id"
     chosen = marked.select("_id", "label", F.xxhash64(F.lit(seed), "_id").alias("_key")).orderBy("_key", "_id").limit(max_rows)
     rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     sample = written(rows.join(F.broadcast(chosen), F.col("id") == F.col("_id"))
+                     .groupBy("_key", "label").agg(F.min("text").alias("text"))       # one document of each id
                      .select("text", "label", F.pmod("_key", F.lit(CALIBRATION_FOLDS)).cast("int").alias("part")), "toxic-sample")
 
     def words_of(batches: Batches) -> Batches:

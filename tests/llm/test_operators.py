@@ -574,3 +574,35 @@ def test_key_comes_from_the_session(spark, docs):
     spark.conf.unset(surrogates.KEY_CONF)
     c, d = (surrogates.replace_entities(rows).first().text for _ in range(2))
     assert a == b and len({a, c, d}) == 3
+
+
+# bounds of the learned samples --------------------------------------------------------------------
+
+def test_samples_keep_their_bound_with_repeated_ids(docs, monkeypatch):
+    """5,000 documents of one id are one row of a sample, in all three learners."""
+    same = [(1, f"good words number {i} and more of them", "en", "a", 1) for i in range(5000)]
+    rows = docs(same + [(i, f"bad words {i} of another kind", "de", "a", 1) for i in range(2, 40)])
+    labels = rows.sparkSession.createDataFrame([(i, i % 2, i % 2) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    seen = {}
+    train = quality.train
+    monkeypatch.setattr(quality, "train", lambda rows, seed: seen.setdefault("quality", len(rows)) and train(rows, seed))
+    quality.fit(rows, labels)
+    keep = langid.train
+    monkeypatch.setattr(langid, "train", lambda x, labels, seed: seen.setdefault("lang", len(x)) and keep(x, labels, seed))
+    langid.fit(rows, F.lit(True), max_rows=20)
+    written = toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, name: (lambda w: (seen.setdefault(name, w.count()), w)[1])(written(df, name)))
+    toxicity.fit(rows, labels, F.lit(True))
+    assert seen["quality"] <= 39 and seen["lang"] <= 20 and seen["toxic-sample"] == 39
+
+
+def test_long_texts_are_learned_whole(docs, monkeypatch):
+    text = " ".join(f"wort{i}" for i in range(9000))
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda x, labels, seed: seen.append(len(x)))
+    langid.fit(docs([(1, text, "de", "a", 1)]), F.lit(True))
+    assert seen == [-(-len(text.encode()) // langid.WINDOW)]
+    monkeypatch.setattr(quality, "train", lambda rows, seed: seen.append((len(rows[0][0]), rows[0][1].sum())))
+    labels = docs([]).sparkSession.createDataFrame([(1, 1)], "doc_id long, quality int")
+    quality.fit(docs([(1, text, "de", "a", 1)]), labels)
+    assert seen[1][0] > 10_000 and abs(seen[1][1] - 1) < 1e-3
