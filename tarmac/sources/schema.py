@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The lists of this module must hold exactly these columns.
 # Raw file, one row per airport and day, in the published column order.
 RAW_SCHEMA = T.StructType([
     T.StructField("YEAR", T.IntegerType()),
