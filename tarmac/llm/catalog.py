@@ -15,8 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.capture_index(table(spark, sf_dir, "pages", "page_id", "url", "html")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.with_rank(warc.capture_index(table(spark, sf_dir, "pages", "page_id", "url", "html"))).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp", "capture_rank")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,12 +70,27 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     F.col("id") % 100 == 0)
 
 
-OP1_SQL = """
-WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
-                  sha1(coalesce(html, '')) AS payload_digest FROM pages),
+# The URL key (host labels reversed, no scheme, www and fragment), the capture time of a page, and the
+# merged order of the captures as a plain row number.
+OP1_SQL = r"""
+WITH u AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+                  sha1(coalesce(html, '')) AS payload_digest,
+                  coalesce(regexp_replace(url, '[\x00-\x20\x7F]', '%20', 'g'), '') AS uri,
+                  '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)(:[0-9]+)?([^#]*)' AS form,
+                  strftime(make_timestamp((1704067200 + coalesce(page_id, 0) % 1000000000) * 1000000),
+                           '%Y%m%d%H%M%S') AS timestamp FROM pages),
+p AS (SELECT page_id, payload_bytes, payload_digest, timestamp,
+             CASE WHEN NOT regexp_matches(uri, form) THEN lower(uri)
+                  ELSE array_to_string(list_reverse(string_split(
+                           regexp_replace(lower(regexp_extract(uri, form, 1)), '^www[0-9]*\.', ''), '.')), ',')
+                       || CASE WHEN regexp_extract(uri, form, 2) IN ('', ':80', ':443') THEN ''
+                               ELSE regexp_extract(uri, form, 2) END
+                       || ')' || CASE WHEN regexp_extract(uri, form, 3) = '' THEN '/'
+                                      ELSE regexp_extract(uri, form, 3) END END AS urlkey FROM u),
 g AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
 SELECT p.*, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id <> first THEN first END AS refers_to
+       CASE WHEN page_id <> first THEN first END AS refers_to,
+       row_number() OVER (ORDER BY urlkey, timestamp, page_id) AS capture_rank
 FROM p LEFT JOIN g USING (payload_digest)
 """
 

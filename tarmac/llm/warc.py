@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Batches, quoted, scratch_path, sized_broadcast, written
@@ -244,3 +245,14 @@ def capture_index(pages: DataFrame, path: str | None = None, id_col: str = "page
     path = path or scratch_path(spark, "warc")
     write_archives(pages, path, id_col, url_col, html_col)
     return merge_runs(written(read_runs(spark, path), "runs"))
+
+
+def with_rank(index: DataFrame) -> DataFrame:
+    """``index`` plus ``capture_rank``, the place of a capture in the global order (from 1): its place
+    in its range after the captures of the ranges before, which are counted (one row a range)."""
+    index = written(index, "index")
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = (index.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+              .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+    return (index.join(F.broadcast(starts), "part")
+            .withColumn("capture_rank", F.col("start") + F.col("pos") + 1).drop("start"))

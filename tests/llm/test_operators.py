@@ -64,6 +64,21 @@ def test_drop_exact_duplicates_keeps_columns_with_clashing_names(docs):
     assert sorted(r.doc_id for r in got.collect()) == list(range(1, 20, 2))
 
 
+def test_exact_dedup_reads_every_slice_and_range_once(docs):
+    """Many slices and many ranges of bitmaps: same rows; texts are hashed in no plan of the result."""
+    rows = [(i, f"text {i % 700}", "en", "a", 1) for i in range(1000)]
+    got = exact_dedup.drop_exact_duplicates(docs(rows).repartition(6), slice_bits=1 << 12, range_blocks=2)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(300, 1000))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2(" not in plan
+    sizes = {}
+    for bits in (1 << 20, 1 << 12, 1 << 11):
+        out = exact_dedup.exact_duplicates(docs(rows), slice_bits=bits)
+        sizes[bits] = out._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+        assert out.where("kept").count() == 700
+    assert sizes[1 << 12] == sizes[1 << 11] <= sizes[1 << 20]
+
+
 # near dedup and components -----------------------------------------------------------------------
 
 def test_components_equal_union_find(spark):
