@@ -229,9 +229,9 @@ def test_pieces_without_dropout_equal_the_library():
             assert encoder.encode(t, 1) == sp.encode(t)
 
 
-def brute_unit(e, unit, variant):
+def brute_unit(e, unit, key):
     """Repeatedly the best candidate of all adjacent pairs that is not skipped."""
-    symbols, key = [(i, c) for i, c in enumerate(unit)], e.unit_key(unit, variant)
+    symbols = [(i, c) for i, c in enumerate(unit)]
     while True:
         found = [(e.ranks[a + b][0], i, k) for k, ((i, a), (_, b)) in enumerate(zip(symbols, symbols[1:]))
                  if a + b in e.ranks and not e.skipped(key, i, e.ranks[a + b][1])]
@@ -248,8 +248,9 @@ def test_dropout_is_lossless_keyed_and_equals_brute_force(docs):
     for t in ODD_TEXTS:
         assert e.decode(e.encode(t, 7)) == t
     words = ["▁" + w for w in "representation international tion ß the a überraschung 😀x incomprehensibilities".split()]
-    for v in range(e.variants):
-        assert e.units(words, v) == [brute_unit(e, w, v) for w in words]
+    for doc in range(3):
+        keys = e.unit_keys(doc, 0, len(words))
+        assert e.units(words, keys) == [brute_unit(e, w, int(k)) for w, k in zip(words, keys)]
     assert len({tuple(e.unit(words[0], v)) for v in range(40)}) > 1
     rows = docs([(i, t, None, None, None) for i, t in enumerate(ODD_TEXTS)] + [(99, None, None, None, None)])
     report = pieces.encode_report(rows, dropout=0.3)
@@ -260,6 +261,27 @@ def test_dropout_is_lossless_keyed_and_equals_brute_force(docs):
     assert sorted(map(str, encoded.collect())) == sorted(map(str, pieces.encode_documents(rows, dropout=0.3).collect()))
 
 
+def test_every_occurrence_and_copy_draws_its_own_merges(docs, spark):
+    model = open(pieces.MODEL_PATH, "rb").read()
+    e = pieces.Encoder(model, 0.1)
+    word = "international"
+    text = "\n".join([" ".join([word] * 25)] * 8)
+    units = [u for line_no, line in enumerate(text.split("\n")) for u in (
+        (["\n"] if line_no else []) + [("▁" if k or not line_no else "") + w for k, w in enumerate(line.split(" "))])]
+    keys = e.unit_keys(5, 1, len(units)).tolist()
+    cuts = [[e.byte_ids[10]] if u == "\n" else brute_unit(e, u, k) for u, k in zip(units, keys)]
+    assert e.encode(text, 5, 1) == [i for c in cuts for i in c]
+    assert len({tuple(c) for u, c in zip(units, cuts) if u == "▁" + word}) > 3
+    assert pieces.Encoder(model, 0.1).encode(text, 5, 1) == e.encode(text, 5, 1) != e.encode(text, 5, 0)
+    draws = [e.skipped(k, 3, 77) for k in e.unit_keys(9, 0, 20_000).tolist()]
+    assert abs(np.mean(draws) - 0.1) < 0.01
+    copies = spark.createDataFrame([(1, text, "x"), (1, text, "y")], "doc_id long, text string, Piece_Ids string").coalesce(1)
+    got = pieces.encode_documents(copies)
+    assert got.columns == ["doc_id", "Piece_Ids_input", "piece_ids"]
+    rows = got.collect()
+    assert sorted(r.Piece_Ids_input for r in rows) == ["x", "y"] and rows[0].piece_ids != rows[1].piece_ids
+
+
 # passages ----------------------------------------------------------------------------------------
 
 def test_passages_are_found_and_clean_documents_left(docs):
