@@ -79,6 +79,16 @@ def test_exact_dedup_reads_every_slice_and_range_once(docs):
     assert sizes[1 << 12] == sizes[1 << 11] <= sizes[1 << 20]
 
 
+def test_capture_rank_is_the_global_order(spark):
+    rows = [(i, None if i == 7 else f"http://www.h{i % 5}.org/p{i % 3}", "x" * i) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    runs = warc.capture_index(pages)
+    got = warc.with_rank(runs).collect()
+    order = sorted(got, key=lambda r: (r.urlkey, r.timestamp, r.page_id))
+    assert [r.capture_rank for r in order] == list(range(1, 41))
+    assert warc.with_rank(warc.capture_index(pages.limit(0))).count() == 0
+
+
 # near dedup and components -----------------------------------------------------------------------
 
 def test_components_equal_union_find(spark):
