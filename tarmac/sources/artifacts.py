@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.binning import VOLUME_LABELS
 from ..functions.phases import PHASE_ORDER
 from ..ml.boosting import BoostedModel
+from ..ml.least_squares import LinearModel
 from ..operators.joins import broadcast_limit
 from .schema import CATEGORICAL_FEATURES, NUMERICAL_FEATURES
 
@@ -32,7 +33,7 @@ class Artifacts:
     global_mean: float
     edges: list[float]
     labels: list[str]
-    models: dict[str, PipelineModel | BoostedModel] = field(default_factory=dict)
+    models: dict[str, PipelineModel | BoostedModel | LinearModel] = field(default_factory=dict)
     metrics: DataFrame | None = None
     monthly_rows: int | None = None
     overall_rows: int | None = None
@@ -91,12 +92,14 @@ def save_artifacts(path: str, lookups, models: dict | None = None,
         .write.mode("overwrite").parquet(f"{path}/features")
     names = []
     for name, model in (models or {}).items():
-        boosted = isinstance(model, BoostedModel)
-        if boosted:
+        kind = {BoostedModel: "boosted", LinearModel: "linear"}.get(type(model), "pipeline")
+        if kind == "boosted":
             model.save(f"{path}/models/{_slug(name)}")
+        elif kind == "linear":
+            model.save(f"{path}/models/{_slug(name)}", spark)
         else:
             model.write().overwrite().save(f"{path}/models/{_slug(name)}")
-        names.append((name, _slug(name), "boosted" if boosted else "pipeline"))
+        names.append((name, _slug(name), kind))
     if names:
         spark.createDataFrame(names, "model string, directory string, kind string") \
             .write.mode("overwrite").parquet(f"{path}/model_index")
@@ -142,7 +145,8 @@ def load_artifacts(spark: SparkSession, path: str, with_models: bool = True) ->
     models, metrics = {}, None
     if with_models and _exists(spark, f"{path}/model_index"):
         for row in spark.read.parquet(f"{path}/model_index").collect():
-            load = partial(BoostedModel.load, spark) if row.asDict().get("kind") == "boosted" else PipelineModel.load
+            load = {"boosted": partial(BoostedModel.load, spark), "linear": partial(LinearModel.load, spark)}.get(
+                row.asDict().get("kind"), PipelineModel.load)
             models[row["model"]] = load(f"{path}/models/{row['directory']}")
     if _exists(spark, f"{path}/metrics"):
         metrics = spark.read.parquet(f"{path}/metrics")

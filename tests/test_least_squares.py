@@ -106,3 +106,44 @@ def test_standardized_summary(spark):
     rows = spark.createDataFrame([(1.0, 5.0, True), (3.0, 5.0, True), (7.0, 5.0, False)], "x double, k double, t boolean")
     got = {(r.feature, r.split): (r.mean_z, r.std_z) for r in L.standardized_summary(rows, F.col("t"), ["x", "k"]).collect()}
     assert got == {("x", "train"): (0.0, 1.0), ("x", "test"): (5.0, 0.0), ("k", "train"): (0.0, 0.0), ("k", "test"): (0.0, 0.0)}
+
+
+@pytest.mark.parametrize("alpha", [1.0, 1e-9])
+def test_an_absorbed_category_gives_the_fit_of_the_whole_design(spark, alpha, tmpdir_path):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(900):
+        apt = int(rng.integers(0, 40))
+        rows.append((float(rng.normal(7, 3)), float(apt % 5), None if i % 50 == 0 else f"A{apt}", None if i % 70 == 0 else f"L{apt % 4}",
+                     str(rng.integers(1, 8)), float(rng.normal(apt / 9, 1))))
+    df = spark.createDataFrame(rows, "u double, v double, apt string, land string, dow string, y double")
+    num, cat = ["u", "v"], ["apt", "land", "dow"]
+    got = L.fit_absorbed(df, num, cat, "y", alpha, "apt")
+    pd = df.toPandas()
+    X = np.column_stack([(pd[c] - pd[c].mean()) / pd[c].std(ddof=0) for c in num]
+                        + [(pd[c] == v).astype(float) for c in cat for v in sorted(pd[c].dropna().unique())])
+    Xc, y = X - X.mean(axis=0), pd.y.to_numpy()
+    w = np.linalg.solve(Xc.T @ Xc + alpha * np.eye(X.shape[1]), Xc.T @ (y - y.mean()))
+    want = X @ w + y.mean() - X.mean(axis=0) @ w
+    order = [tuple(r) for r in df.select("u", "y").collect()]
+    have = {(r.u, r.y): r.prediction for r in got.transform(df).collect()}
+    np.testing.assert_allclose([have[o] for o in order], want, rtol=1e-6, atol=1e-6)
+    got.save(f"{tmpdir_path}/m", spark)
+    again = {(r.u, r.y): r.prediction for r in L.LinearModel.load(spark, f"{tmpdir_path}/m").transform(df).collect()}
+    assert all(abs(again[o] - have[o]) < 1e-9 for o in order)
+
+
+def test_absorbing_needs_a_penalty(spark):
+    with pytest.raises(ValueError, match="penalty"):
+        L.fit_absorbed(spark.createDataFrame([(1.0, "a", 1.0)], "u double, c string, y double"), ["u"], ["c"], "y", 0.0, "c")
+
+
+@pytest.mark.parametrize("fit", [TR.fit_ridge, TR.fit_ols])
+def test_a_design_wider_than_the_dense_equations_is_fitted(planted, fit, monkeypatch):
+    rows = planted.train()
+    want = {(r[0], r[1]): r[2] for r in fit(planted).model.transform(rows).select("APT_ICAO", "FLT_DATE", "prediction").collect()}
+    monkeypatch.setattr(TR.P, "NORMAL_SOLVER_MAX_FEATURES", 5)
+    fitted = fit(planted)
+    assert isinstance(fitted.model, L.LinearModel) and fitted.metrics.count() == 12
+    got = {(r[0], r[1]): r[2] for r in fitted.model.transform(rows).select("APT_ICAO", "FLT_DATE", "prediction").collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-5
