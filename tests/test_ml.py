@@ -274,3 +274,19 @@ def test_registry_entries_follow_the_object_not_its_id(planted):
     TR.ModelRegistry._fitted[key] = (weakref.ref(TR), fitted)       # simulate a reused id
     b = TR.ModelRegistry.get(planted, "Ridge Regression")
     assert b is not fitted                                            # refitted, not reused
+
+
+def test_trees_take_a_wide_category_by_its_level_means(spark, planted, monkeypatch):
+    from tarmac.ml import pipelines as P
+    assert P.tree_bins({"a": 6, "b": 40}) == (41, []) and P.tree_bins({"a": 6, "b": 60_000}) == (P.WIDE_BINS, ["b"])
+    monkeypatch.setattr(P, "TREE_MAX_LEVELS", 5)
+    fitted, curve = TR.fit_gbt(planted, max_iter=3, max_depth=3)
+    assert fitted.model.stages[-1].getMaxBins() == P.WIDE_BINS and curve.count() == 3 and fitted.metrics.count() == 12
+    req = spark.createDataFrame([("ZZZ", dt.date(2021, 3, 3)), ("AAA", dt.date(2021, 3, 3)), ("FFF", dt.date(2021, 3, 3))],
+                                "airport string, flt_date date")
+    scored = fitted.model.transform(scoring_features(req, planted))
+    kinds = scored.schema["features"].metadata["ml_attr"]["attrs"]
+    assert "APT_ICAO__mean" in [a["name"] for a in kinds["numeric"]] and "STATE_NAME__idx" in [a["name"] for a in kinds["nominal"]]
+    rows = {r["APT_ICAO"]: r for r in scored.collect()}
+    assert rows["AAA"]["APT_ICAO__mean"] < rows["ZZZ"]["APT_ICAO__mean"] < rows["FFF"]["APT_ICAO__mean"]
+    assert rows["AAA"]["prediction"] < rows["FFF"]["prediction"]
