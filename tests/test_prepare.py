@@ -113,3 +113,30 @@ def test_release_deletes_written_tables(spark, edge):
     assert all(os.path.exists(q) for q in local)
     p.release()
     assert not any(os.path.exists(q) for q in local) and p.tables == []
+
+
+def test_rows_are_dealt_to_years_while_narrow(spark, monkeypatch):
+    """Finished rows are shuffled only where the lookups are; the rows are the same."""
+    from helpers import daily, traffic
+    from tarmac.plans import prepare as PR
+    plans, write = [], PR.write_table
+
+    def seen(df, name, *a, **k):
+        if name == "features":
+            plans.append((k["dealt"], df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, name, *a, **k)
+    monkeypatch.setattr(PR, "write_table", seen)
+    rows = [r for i, b in enumerate([20, 45, 90, 160, 300]) for r in daily(f"A{i}", f"L{i % 2}", "2018-11-01", 500, lambda d, b=b: b + d.day)]
+    got = []
+    try:
+        for limit in (None, "1"):
+            spark.conf.set("tarmac.broadcast.maxRows", limit) if limit else None
+            f = PR.prepare(traffic(spark, rows), materialize="table").features
+            got.append((f.columns, sorted(map(str, f.collect()))))
+    finally:
+        spark.conf.unset("tarmac.broadcast.maxRows")
+    assert got[0] == got[1] and len(got[0][1]) == len(rows)
+    assert [d for d, _ in plans] == [True, False]
+    assert "RebalancePartitions" in plans[0][1] and "RebalancePartitions" not in plans[1][1]
+    assert plans[0][1].index("Join") < plans[0][1].index("RebalancePartitions")      # below the joins
+    assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) >= 9      # years of a task, without a sort
