@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 from .schema import DROPPED_COLUMNS, RAW_SCHEMA, TRAFFIC_COLUMNS
-from .traffic import whole_number
+from .traffic import exact_number, whole_of
 
 MAX_REJECT_RATE = 0.01
 BROKEN = "row: wrong number of fields"
@@ -49,24 +49,23 @@ def parse_date(text: Column, formats: Sequence[str] = ()) -> Column:
 
 
 def check_columns(text: DataFrame, formats: Sequence[str] = (), broken: Column | None = None) -> DataFrame:
-    """``text`` plus parsed columns ``_<name>`` and ``reasons``, the columns whose text does not parse."""
-    parsed, wrong = {}, []
-    for f in READ_COLUMNS:
-        value = F.nullif(F.trim(F.col(f"`{f.name}`").cast("string")), F.lit(""))
-        value = F.when(~F.lower(value).isin("nan", "null", "na"), value) if not isinstance(f.dataType, T.StringType) or f.name == "FLT_DATE" else value
-        if f.name == "FLT_DATE":
-            got, what = parse_date(value, formats), "no date"
-        elif isinstance(f.dataType, T.IntegralType):
-            got, what = whole_number(value, f.dataType), "no whole number"
-        else:
-            got, what = value, ""
-        parsed[f"_{f.name}"] = got
-        if what:
-            wrong.append(F.when(value.isNotNull() & got.isNull(), F.lit(f"{f.name}: {what}")))
-    reasons = F.array_compact(F.array(*wrong))
+    """``text`` plus parsed columns ``_<name>`` and ``reasons``, the columns whose text does not parse.
+
+    One step a select: a value is trimmed and parsed once, and the code of a row stays small enough to be compiled."""
+    numbers = [f for f in READ_COLUMNS if isinstance(f.dataType, T.IntegralType)]
+    what = {"FLT_DATE": "no date"} | {f.name: "no whole number" for f in numbers}
+    trimmed = {f.name: F.nullif(F.trim(F.col(f"`{f.name}`").cast("string")), F.lit("")) for f in READ_COLUMNS}
+    values = {f"_{c}": v for c, v in trimmed.items() if c not in what}
+    rows = text.withColumns(values | {f"_text_{c}": F.when(~F.lower(trimmed[c]).isin("nan", "null", "na"), trimmed[c]) for c in what})
+    rows = rows.withColumns({"_FLT_DATE": parse_date(F.col("_text_FLT_DATE"), formats)}
+                            | {f"_exact_{f.name}": exact_number(F.col(f"_text_{f.name}")) for f in numbers})
+    rows = rows.withColumns({f"_{f.name}": whole_of(F.col(f"_text_{f.name}"), F.col(f"_exact_{f.name}"), f.dataType) for f in numbers})
+    names = [f.name for f in READ_COLUMNS if f.name in what]
+    reasons = F.array_compact(F.array(*[F.when(F.col(f"_text_{c}").isNotNull() & F.col(f"_{c}").isNull(), F.lit(f"{c}: {what[c]}"))
+                                        for c in names]))
     if broken is not None:
         reasons = F.when(broken, F.array(F.lit(BROKEN))).otherwise(reasons)
-    return text.withColumns(parsed | {"reasons": reasons})
+    return rows.withColumn("reasons", reasons).drop(*[f"_text_{c}" for c in what], *[f"_exact_{f.name}" for f in numbers])
 
 
 def possible_reasons() -> list[str]:
