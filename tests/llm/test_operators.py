@@ -403,6 +403,54 @@ def test_all_passages_of_fifty_words_are_found(docs):
     assert got == {(2 * k + 1, 2 * k) for k in range(80)}
 
 
+def test_passages_whose_seeds_have_other_first_documents(docs):
+    """Ten pairs share 60 words with every sixth changed; every clean run is in a document of its own before them."""
+    rng = np.random.default_rng(13)
+
+    def fresh(n):
+        return [f"f{k}" for k in rng.integers(1 << 40, size=n)]
+    rows, links = [], set()
+    for k in range(10):
+        one = fresh(60)
+        two = [f"z{k}-{i}" if i % 6 == 5 else w for i, w in enumerate(one)]
+        rows += [(100 * k + i, " ".join(fresh(40) + one[6 * i:6 * i + 5] + fresh(40)), None, None, None) for i in range(10)]
+        rows += [(100 * k + 50, " ".join(fresh(40) + one + fresh(40)), None, None, None),
+                 (100 * k + 51, " ".join(fresh(60) + two + fresh(20)), None, None, None)]
+        links.add((100 * k + 51, 100 * k + 50))
+    assert {(r.doc_id, r.partner_id) for r in passages.repeated_passages(docs(rows)).collect()} == links
+
+
+def test_linked_places_equal_definition():
+    rng = np.random.default_rng(14)
+    for most in (2, 5, None):
+        seed, doc, pos = rng.integers(0, 12, 80).astype(np.uint64), rng.integers(0, 9, 80), rng.permutation(80)
+        order = np.lexsort((pos, doc, seed))
+        seed, doc, pos = seed[order], doc[order], pos[order]
+        expected = []
+        for i, j in itertools.combinations(range(80), 2):
+            if seed[i] == seed[j] and doc[i] != doc[j]:
+                same = np.nonzero(seed == seed[i])[0]
+                if most is None or len(same) <= most or i == same[0]:
+                    expected.append((i, j))
+        got = [(i, j) for a, b in passages.linked_places(seed, doc, pos, most) for i, j in zip(a.tolist(), b.tolist())]
+        assert sorted(got) == expected
+
+
+def test_copies_of_a_document_enter_once(docs):
+    """Equal words give one row each with the first document; an id of several rows is no copy."""
+    rng = np.random.default_rng(15)
+    text, other = (" ".join(f"f{k}" for k in rng.integers(1 << 40, size=70)) for _ in range(2))
+    short = " ".join(text.split()[:49])
+    rows = [(i, t, None, None, None) for i, t in [(5, text), (2, text.upper()), (9, text.replace(" ", "\n")), (10, short), (11, short)]]
+    got = sorted((r.doc_id, r.partner_id, r.begin_word, r.end_word, r.partner_begin, r.partner_end, r.similarity)
+                 for r in passages.repeated_passages(docs(rows)).collect())
+    assert got == [(5, 2, 0, 70, 0, 70, 1.0), (9, 2, 0, 70, 0, 70, 1.0)]
+    rows += [(7, text, None, None, None), (7, other, None, None, None)]
+    kept, copies = passages.distinct_texts(passages._rows(docs(rows), "doc_id", "text"))
+    assert sorted((r["doc"], r["first"]) for r in copies.collect()) == [(5, 2), (9, 2)]
+    assert sorted(r["doc"] for r in kept.collect()) == [2, 7, 7, 10, 11]
+
+
 # toxicity ----------------------------------------------------------------------------------------
 
 def test_maximal_segments_equal_definition():
