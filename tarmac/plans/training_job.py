@@ -18,7 +18,7 @@ from ..sources.traffic import fixture_traffic, read_traffic_parquet, scan_traffi
 from .prepare import prepare
 
 
-def run_training(spark: SparkSession, traffic, out: str, gbt_rounds: int = 20,
+def run_training(spark: SparkSession, traffic, out: str, gbt_rounds: int = 2000,
                  validation: str = "holdout", materialize: str = "table") -> dict:
     prepared = prepare(traffic, materialize=materialize)
     ridge = TR.fit_ridge(prepared)
@@ -37,7 +37,7 @@ def main(argv=None) -> None:
     src.add_argument("--parquet")
     src.add_argument("--fixture", help="folder of the TPC-H based test tables")
     ap.add_argument("--out", required=True)
-    ap.add_argument("--gbt-rounds", type=int, default=20)
+    ap.add_argument("--gbt-rounds", type=int, default=2000, help="at most; fitting stops by itself")
     ap.add_argument("--validation", choices=["holdout", "test"], default="holdout")
     ap.add_argument("--date-format", action="append", default=[], help="of the CSV's dates, tried after ISO; may be repeated")
     ap.add_argument("--max-reject-rate", type=float, default=MAX_REJECT_RATE, help="share of CSV rows that may fail to parse")
